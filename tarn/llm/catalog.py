@@ -142,5 +142,85 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf)[0]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_assignment, p4_report, p5_found, p5_sample, p5_report)}
+# --- 6: windows -----------------------------------------------------------------------------
+
+
+def _sized(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
+    """Documents with size, plain source and a hash of their text as duplicate cluster, written once."""
+    from tarn.llm.packing import text_sizes
+
+    d = _read(spark, sf, "documents").select("doc_id", "text", I.word(F.col("source")).alias("source"), F.xxhash64(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")).alias("cluster"))
+    return scratch.cut(text_sizes(d, "text", ["doc_id", "source", "cluster"]), "sizes")
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    from tarn.llm.packing import pack
+
+    scratch = Scratch(spark, "p6")
+    return pack(_sized(spark, sf, scratch), _read(spark, sf, "pack_specs"), scratch)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf).where("pieces > 1 and piece = 0").select("spec", "doc_id")
+
+
+def p6_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    from tarn.llm.packing import pack_report
+
+    return pack_report(_packed(spark, sf))
+
+
+# --- 7: mixes -------------------------------------------------------------------------------
+
+
+def _planned(spark: SparkSession, sf: str, mode: str) -> tuple[DataFrame, DataFrame]:
+    from tarn.llm.mixing import plan_mixes
+
+    docs = _sized(spark, sf, Scratch(spark, "p7")).select("doc_id", "source", F.col("size").alias("tokens"))
+    return docs, plan_mixes(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), _read(spark, sf, "mix_targets"), mode)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _planned(spark, sf, "given")[1].where("short > 0").select("mix_id", "source")
+
+
+def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
+    from tarn.llm.mixing import realise
+
+    return realise(*_planned(spark, sf, "given"))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    from tarn.llm.mixing import mix_report, realise
+
+    docs, planned = _planned(spark, sf, "given")
+    return mix_report(planned, realise(docs, planned))
+
+
+def p7_temperature(spark: SparkSession, sf: str) -> DataFrame:
+    from tarn.llm.mixing import mix_report, realise
+
+    docs, planned = _planned(spark, sf, "temperature")
+    return mix_report(planned, realise(docs, planned))
+
+
+# --- 8: text quality ------------------------------------------------------------------------
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    from tarn.llm.quality import kind, text_statistics
+
+    d = _read(spark, sf, "documents").select("doc_id", "text")
+    return text_statistics(d, "doc_id", "text").withColumn("kind", kind())
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_statistics(spark, sf).where("kind is not null").select("doc_id", "kind")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_assignment, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_windows, p6_report, p7_found, p7_selection, p7_report, p7_temperature, p8_found, p8_statistics)}
 ORACLE: dict[str, str] = {}
