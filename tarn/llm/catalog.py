@@ -121,6 +121,20 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return report(dealt, draw(items, "id", _KEYS, dealt), _KEYS)
 
 
+# --- 1: pairs -------------------------------------------------------------------------------
+
+
+def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from tarn.llm.pairs import label_pairs
+
+    pairs = _read(spark, sf, "spotcheck_20261013_003").select("case_id", "question", "answer")
+    return label_pairs(pairs, "case_id", "question", "answer", Scratch(spark, "p1")).withColumnRenamed("id", "case_id")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_labels(spark, sf).where("main").select("case_id", "defect")
+
+
 # --- 2: near-duplicates ---------------------------------------------------------------------
 
 
@@ -222,5 +236,5 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_statistics(spark, sf).where("kind is not null").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_assignment, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_windows, p6_report, p7_found, p7_selection, p7_report, p7_temperature, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_classes, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_assignment, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_windows, p6_report, p7_found, p7_selection, p7_report, p7_temperature, p8_found, p8_statistics)}
 ORACLE: dict[str, str] = {}
