@@ -150,7 +150,7 @@ SELECT qid, row_id AS vec_id, vector_rank, bm25_rank, row_number() OVER (PARTITI
     "rt_recall_mrr": f"""WITH {_knn(25)}, d AS (SELECT qid, label, min(rank) AS r FROM knn JOIN embeddings e ON e.vec_id = row_id WHERE row_id <> qid GROUP BY ALL),
 o AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY r, label) AS dr FROM d)
 SELECT q.vec_id AS qid, CASE WHEN o.dr <= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, round(coalesce(1.0::DOUBLE / o.dr, 0.0), 6) AS mrr FROM embeddings q LEFT JOIN o ON o.qid = q.vec_id AND o.label = q.label WHERE q.vec_id % 50 = 0""",
-    "rt_multi_query": f"""WITH {_knn(24)}, s AS (SELECT e.label AS question_id, row_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(rank) AS best FROM knn JOIN embeddings e ON e.vec_id = qid GROUP BY ALL)
+    "rt_multi_query": f"""WITH {_knn(24)}, s AS (SELECT e.label::BIGINT AS question_id, row_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(rank) AS best FROM knn JOIN embeddings e ON e.vec_id = qid GROUP BY ALL)
 SELECT question_id, row_id AS vec_id, round(s, 6) AS rrf_score, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 12) DESC, best, row_id) AS rank FROM s""",
     "rt_context": f"""WITH {QUESTIONS}, {CORPUS}, {BM25},
 p AS (SELECT bm.qid, q.text AS query, c.origin_id AS parent_id, bm.rank AS pool_rank, len(list_intersect(list_distinct(list_filter(string_split(q.text, ''), lambda x: x <> '')), list_filter(string_split(c.text, ''), lambda x: x <> '')))::DOUBLE / greatest(len(list_distinct(list_filter(string_split(q.text, ''), lambda x: x <> ''))), 1) AS s FROM bm JOIN questions q USING (qid) JOIN corpus c USING (row_id)),
