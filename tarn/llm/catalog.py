@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import _items as I
+from tarn.llm.oracles import ORACLE  # noqa: F401
 from tarn.storage import Scratch
 
 
@@ -237,4 +238,3 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_classes, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_assignment, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_windows, p6_report, p7_found, p7_selection, p7_report, p7_temperature, p8_found, p8_statistics)}
-ORACLE: dict[str, str] = {}

@@ -27,7 +27,7 @@ from tarn.llm.components import hash_to_min
 from tarn.session import ship
 from tarn.storage import Scratch
 
-TABLES = 6
+TABLES = 8
 BLOCK = 23
 RADIUS, THRESHOLD = 3, 1
 GENERATOR = 0b101011100011  # of the binary Golay code
@@ -35,7 +35,7 @@ GENERATOR = 0b101011100011  # of the binary Golay code
 #: Texts are near-duplicates if their trigram sets have at least this share in common (Dice).
 SIMILARITY = 0.7
 #: Bits of the whole fingerprint (TABLES * 2 * BLOCK) in which a pair may differ to be compared by text.
-MOST_BITS = 62
+MOST_BITS = int(0.225 * TABLES * 2 * BLOCK)
 #: An anchor with more pairs than this is worked on in two steps, without forming all its pairs.
 PAIRS_AT_ANCHOR = 20_000
 
