@@ -117,11 +117,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType = ITEM
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV with header, in UTF-8 with or without byte order mark; GB 18030 if the bytes are no UTF-8."""
-    bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
-    r = spark.read.option("header", "true").option("multiLine", "true").option("encoding", "GB18030" if bad else "UTF-8")
-    df = (r.schema(schema) if schema else r).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    """A CSV with header, in UTF-8 with or without byte order mark; files in GB 18030 are decoded first, then read as text columns."""
+    raw = spark.read.format("binaryFile").load(path)
+    if raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty():
+        r = spark.read.option("header", "true").option("multiLine", "true")
+        df = (r.schema(schema) if schema else r).csv(path)
+        return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    ship(spark)
+
+    def parse(batches):
+        import csv
+        import io
+
+        for pdf in batches:
+            rows = [(i, r) for text in pdf["text"] for i, r in enumerate(csv.reader(io.StringIO(text))) if r]
+            yield pd.DataFrame(rows, columns=["n", "fields"])
+
+    rows = raw.select(decode("content").alias("text")).mapInPandas(parse, "n int, fields array<string>")
+    head = rows.where("n = 0").first()["fields"]
+    df = rows.where("n > 0").select(*[F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(head)])
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in T._parse_datatype_string(schema).fields]) if schema else df
 
 
 def read_atom(spark: SparkSession, path: str) -> DataFrame:

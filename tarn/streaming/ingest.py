@@ -14,9 +14,10 @@ def ingest_stream(spark: SparkSession, folder: str, store: str, checkpoint: str,
     """Read text files that land in ``folder`` and append parents, children and manifest below ``store``.
 
     A document already in the manifest with the same content is skipped, so that replays change
-    nothing; another content for a known document is recorded as a conflict and not loaded.
+    nothing; another content for a known document is recorded as a conflict and not loaded. A text of
+    blanks only is recorded as failed; Spark's file source passes over files without any bytes.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
 
     def one(batch: DataFrame, number: int) -> None:
         ingest_batch(batch, store, number)
