@@ -128,19 +128,19 @@ def discover(votes: DataFrame, item: Sequence[str], scratch: Scratch, level: flo
 
     def truth(weighted: DataFrame) -> DataFrame:
         """The winning label of each item with its weight and the next label's."""
-        each = weighted.groupBy(*item, "label").agg(F.sum("w").alias("w"), F.count("*").alias("c"))
+        each = weighted.groupBy(*item, "label").agg(F.sum("_w").alias("_sw"), F.count("*").alias("_c"))
         # labels are few for an item; least of negatives: greatest weight, then count, then first label
-        top = F.array_sort(F.collect_list(F.struct((-F.round("w", 9)).alias("w"), (-F.col("c")).alias("c"), F.col("label").alias("label"))))
-        t = each.groupBy(*item).agg(top.alias("t"))
-        return t.select(*item, F.get("t", F.lit(0))["label"].alias("truth"), "t")
+        top = F.array_sort(F.collect_list(F.struct((-F.round("_sw", 9)).alias("w"), (-F.col("_c")).alias("c"), F.col("label").alias("label"))))
+        t = each.groupBy(*item).agg(top.alias("_top"))
+        return t.select(*item, F.get("_top", F.lit(0))["label"].alias("_truth"), "_top")
 
     def weigh(weighted: DataFrame) -> DataFrame:
         rows = weighted.join(truth(weighted), item)
-        mine = F.element_at(F.filter("t", lambda x: x["label"] == F.col("label")), 1)["w"]  # a negative
-        other = F.coalesce(F.array_min(F.transform(F.filter("t", lambda x: x["label"] != F.col("label")), lambda x: x["w"])), F.lit(0.0))
-        rest = F.least(F.round(mine + F.col("w"), 6), F.lit(0.0))  # the others' weight for the own label
+        mine = F.element_at(F.filter("_top", lambda x: x["label"] == F.col("label")), 1)["w"]  # a negative
+        other = F.coalesce(F.array_min(F.transform(F.filter("_top", lambda x: x["label"] != F.col("label")), lambda x: x["w"])), F.lit(0.0))
+        rest = F.least(F.round(mine + F.col("_w"), 6), F.lit(0.0))  # the others' weight for the own label
         other = F.round(other, 6)
-        rival = F.array_min(F.filter("t", lambda x: x["label"] != F.col("label")))["label"]
+        rival = F.array_min(F.filter("_top", lambda x: x["label"] != F.col("label")))["label"]
         told = F.when(other < rest, rival).when(other > rest, F.col("label"))  # what the others decide
         e = rows.select("labeller", "label", told.alias("told")).groupBy("labeller", "told").agg(F.count("*").alias("n"), F.sum((F.col("label") != F.col("told")).cast("int")).alias("e"))
         known = F.col("told").isNotNull()
@@ -151,10 +151,10 @@ def discover(votes: DataFrame, item: Sequence[str], scratch: Scratch, level: flo
         return w.withColumn("weight", F.greatest(F.log((1 - u) * (kinds - 1) / u), F.lit(1e-6)))
 
     def weighted() -> DataFrame:
-        return stored.join(hint(w.select("labeller", F.col("weight").alias("w"))), "labeller")
+        return stored.join(hint(w.select("labeller", F.col("weight").alias("_w"))), "labeller")
 
     keep = lambda x: scratch.cut(x.coalesce(1) if small else x, "weights")
-    w = keep(weigh(stored.withColumn("w", F.lit(1.0))))
+    w = keep(weigh(stored.withColumn("_w", F.lit(1.0))))
     last = None
     for _ in range(max_rounds):
         new = keep(weigh(weighted()))
@@ -165,10 +165,10 @@ def discover(votes: DataFrame, item: Sequence[str], scratch: Scratch, level: flo
             break
         last = mark
     joined = weighted()
-    t = truth(joined).drop("t")
-    agree = F.col("label") == F.col("truth")
-    items = joined.join(t, item).groupBy(*item, "truth").agg(F.count("*").alias("labels"), F.avg(agree.cast("double")).alias("agreement"), (F.sum(F.when(agree, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("support"))
-    items = scratch.cut(items.withColumnRenamed("truth", "label"), "consensus")
+    t = truth(joined).drop("_top")
+    agree = F.col("label") == F.col("_truth")
+    items = joined.join(t, item).groupBy(*item, "_truth").agg(F.count("*").alias("labels"), F.avg(agree.cast("double")).alias("agreement"), (F.sum(F.when(agree, F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("support"))
+    items = scratch.cut(items.withColumnRenamed("_truth", "label"), "consensus")
     stored.unpersist()
     labellers = w.withColumn("accuracy", 1 - F.col("errors") / F.col("labels"))
     return items, labellers.select("labeller", "labels", "errors", "accuracy", "variance_bound", "weight")
@@ -182,13 +182,13 @@ def agreement(votes: DataFrame, item: Sequence[str], by: Sequence[str] = ()) ->
     observed (share of disagreeing pairs), expected, alpha.
     """
     item, by = list(item), list(by)
-    per = votes.groupBy(*item, "label").agg(F.count("*").alias("c"))
+    per = votes.groupBy(*item, "label").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*item)
-    per = per.withColumn("m", F.sum("c").over(w)).where("m > 1")
-    o = per.groupBy(*dict.fromkeys([*by, *item])).agg(F.max("m").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
-    o = o.groupBy(*by).agg(F.count("*").alias("items"), F.sum("m").alias("labels"), F.sum((F.col("m") * (F.col("m") - 1) - F.col("same")) / (F.col("m") - 1)).alias("d"))
-    e = per.groupBy(*by, "label").agg(F.sum("c").alias("c"))
-    e = e.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+    per = per.withColumn("_m", F.sum("_c").over(w)).where("_m > 1")
+    o = per.groupBy(*dict.fromkeys([*by, *item])).agg(F.max("_m").alias("_m"), F.sum(F.col("_c") * (F.col("_c") - 1)).alias("_same"))
+    o = o.groupBy(*by).agg(F.count("*").alias("items"), F.sum("_m").alias("labels"), F.sum((F.col("_m") * (F.col("_m") - 1) - F.col("_same")) / (F.col("_m") - 1)).alias("_d"))
+    e = per.groupBy(*by, "label").agg(F.sum("_c").alias("_c"))
+    e = e.groupBy(*by).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_c")).alias("_sq"))
     both = o.join(e, by) if by else o.crossJoin(e)  # one row each
-    out = both.withColumn("observed", F.col("d") / F.col("n")).withColumn("expected", F.try_divide(F.col("n") * F.col("n") - F.col("sq"), F.col("n") * (F.col("n") - 1)))
+    out = both.withColumn("observed", F.col("_d") / F.col("_n")).withColumn("expected", F.try_divide(F.col("_n") * F.col("_n") - F.col("_sq"), F.col("_n") * (F.col("_n") - 1)))
     return out.select(*by, "items", "labels", "observed", "expected", (1 - F.try_divide("observed", F.col("expected"))).alias("alpha"))

@@ -151,34 +151,45 @@ def near_links(prints: DataFrame, scratch: Scratch, pairs_at_anchor: int = PAIRS
 
     At most anchors all pairs of a home and a replicated fingerprint are compared. An anchor
     with more than ``pairs_at_anchor`` such pairs would cost the square of a
-    large class: there each member is first compared with the anchor's smallest
-    key only; classes are formed; then whoever is not in the anchor's largest
-    class is compared with all members of other classes. Pairs within a class
-    are left out as they are linked already; no pair of different classes is.
+    large class. There, each key at home is first compared with the smallest
+    one at home only, and classes are formed; then one key of each class that
+    visits the anchor is compared with that smallest one, and classes are formed again; last, whoever is not in the
+    anchor's largest class is compared with all members of other classes. Pairs
+    within a class are left out as they are linked already; no pair of different classes is.
     """
     home = prints.select(F.explode("home").alias("anchor"), "key")
     near = prints.select(F.explode("near").alias("anchor"), "key")
     count = home.groupBy("anchor").agg(F.count("*").alias("h"))
-    # few anchors have two homes or more; a replicated fingerprint counts wherever there is a home
+    # a replicated fingerprint counts wherever there is a home; its own home is one of them
     meets = near.join(count, "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     load = scratch.cut(count.join(meets, "anchor").withColumn("large", F.col("h") * F.col("n") > pairs_at_anchor), "load")
     live = scratch.cut(near.join(load.select("anchor", "large"), "anchor"), "visits")
     here = scratch.cut(home.join(load.select("anchor", "large"), "anchor"), "homes")
     links = _verified(_met(here.where("not large"), live.where("not large")), prints, scratch)
-    big_home, big_near = here.where("large"), live.where("large")
     if load.where("large").isEmpty():
         return links
-    first = big_home.groupBy("anchor").agg(F.min("key").alias("key"))
-    links = links.union(_verified(_met(first, big_near), prints, scratch))
-    comp = hash_to_min(links, scratch).toDF("key", "c")
-    tag = lambda d: d.join(comp, "key", "left").select("anchor", "key", F.coalesce("c", "key").alias("c"))
-    big_home, big_near = scratch.cut(tag(big_home), "large-homes"), scratch.cut(tag(big_near), "large-visits")
-    sizes = big_near.groupBy("anchor", "c").agg(F.count("*").alias("n"))
+    big_home, big_near = here.where("large").drop("large"), live.where("large").drop("large")
+    lead = scratch.cut(big_home.groupBy("anchor").agg(F.min("key").alias("key")), "leads")
+
+    def classed(d: DataFrame, links: DataFrame) -> DataFrame:
+        comp = hash_to_min(links, scratch).toDF("key", "c")
+        return d.join(comp, "key", "left").select("anchor", "key", F.coalesce("c", "key").alias("c"))
+
+    links = links.union(_verified(_met(lead, big_home), prints, scratch))
+    visits = scratch.cut(classed(big_near, links), "visits-classed")
+    one = visits.groupBy("anchor", "c").agg(F.min("key").alias("key")).select("anchor", "key")
+    links = links.union(_verified(_met(lead, one), prints, scratch))
+    scratch.drop(visits)
+    homes, visits = scratch.cut(classed(big_home, links), "large-homes"), scratch.cut(classed(big_near, links), "large-visits")
+    sizes = visits.groupBy("anchor", "c").agg(F.count("*").alias("n"))
     top = sizes.groupBy("anchor").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    big_home, big_near = big_home.join(top, "anchor"), big_near.join(top, "anchor")
-    other = lambda d: d.where("c <> top")
-    pair = lambda x, y: x.select("anchor", F.col("key").alias("x"), F.col("c").alias("cx")).join(y.select("anchor", F.col("key").alias("y"), F.col("c").alias("cy")), "anchor").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = pair(other(big_home), big_near).union(pair(big_home, other(big_near))).distinct()
+    homes, visits = homes.join(top, "anchor"), visits.join(top, "anchor")
+
+    def pair(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.select("anchor", F.col("key").alias("x"), F.col("c").alias("cx")), y.select("anchor", F.col("key").alias("y"), F.col("c").alias("cy"))
+        return x.join(y, "anchor").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    rest = pair(homes.where("c <> top"), visits).union(pair(homes, visits.where("c <> top"))).distinct()
     return links.union(_verified(rest, prints, scratch))
 
 
