@@ -693,3 +693,42 @@ def st_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
     s = sessions(_t(spark, sf, "events"), "30 minutes")
     return s.select("user_id", F.col("session_window.start").alias("start"), "n", F.round("value", 4).alias("value"))
+
+
+@query
+def qc_fresh_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with enough text, one for each content."""
+    d = _t(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("url"), "text")
+    return Q.fresh_pages(d).select("url", "sha256")
+
+
+@query
+def qc_passed(spark: SparkSession, sf: str) -> DataFrame:
+    """Items passed by any label of two tables."""
+    a = _t(spark, sf, "calibration").select("id", _verdict(F.col("human.label")).alias("decision"))
+    return Q.passed_reviews(a, _t(spark, sf, "judge_spotcheck_v1").select("id", _verdict(F.col("human_verdict")).alias("decision")))
+
+
+@query
+def qc_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of plain spelling; the multi-hop ones replaced by themselves and numbered anew."""
+    i = _items(spark, sf).where("type in ('factual', 'multi_hop')").select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("qid"), "type", "question")
+    i = i.groupBy("type", "question").agg(F.min("qid").alias("qid"))
+    return Q.merge_candidates(i, i.where("type = 'multi_hop'")).select("qid", "type", F.md5("question").alias("question"))
+
+
+@query
+def ev_order_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims of an item against the sentences of its truth: shared, and in place."""
+    i = _items(spark, sf).where("ground_truth is not null")
+    s = F.filter(F.split("ground_truth", "[。；]"), lambda x: x != "")
+    a = F.transform(F.coalesce("key_claims", F.array().cast("array<string>")), lambda x: F.trim(x))
+    return i.select("id", F.round(Q.overlap(F.array_distinct(a), F.array_distinct(s)), 6).alias("overlap"), F.round(Q.order_match(a, s), 6).alias("in_place"))
+
+
+@query
+def ev_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Item texts in the items and in the result rows: how far they agree."""
+    a = _items(spark, sf).select("id", "question")
+    b = _results(spark, sf).groupBy("id").agg(F.min("question").alias("question"))
+    return Q.parity(a, b, ["id"], "question")

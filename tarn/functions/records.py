@@ -126,3 +126,20 @@ def usage_sum(df: DataFrame, by: list[str], usage: str = "usage") -> DataFrame:
     fields = [f.name for f in df.schema[usage].dataType.fields if isinstance(f.dataType, T.NumericType)]
     s = df.groupBy(*by).agg(*[F.sum(F.col(usage)[f]).alias(f) for f in fields])
     return s.select(*by, F.when(F.coalesce(*fields).isNotNull(), F.struct(*fields)).alias(usage))
+
+
+def usage_of(raw: Column) -> Column:
+    """Usage as a struct of five counts, from a model's own JSON; absent counts are null."""
+    g = lambda p: F.get_json_object(raw, p).cast("long")
+    return F.struct(
+        g("$.prompt_tokens").alias("prompt_tokens"),
+        g("$.completion_tokens").alias("completion_tokens"),
+        g("$.total_tokens").alias("total_tokens"),
+        g("$.completion_tokens_details.reasoning_tokens").alias("reasoning_tokens"),
+        F.coalesce(g("$.prompt_cache_hit_tokens"), g("$.prompt_tokens_details.cached_tokens")).alias("cache_hit_tokens"),
+    )
+
+
+def trace_id(at: Column) -> Column:
+    """``t``, the time to the second, a dash and six hex digits."""
+    return F.concat(F.lit("t"), F.date_format(at, "yyyyMMddHHmmss"), F.lit("-"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 6))

@@ -155,3 +155,67 @@ def prefix_match(excerpts: DataFrame, texts: DataFrame, n: int = 120) -> DataFra
     for m in lens:
         hit = hit.unionByName(short.where(F.length("_k") == m).join(t.select("text_id", F.substring("text", 1, m).alias("_k")), "_k").select("id", "text_id"))
     return hit.groupBy("id").agg(F.min("text_id").alias("text_id"))
+
+
+def fresh_pages(pages: DataFrame, seen: DataFrame | None = None, least_han: int = 150, order: str = "url") -> DataFrame:
+    """Crawled pages (url, text) with enough Han characters whose content is new: the first of each content, none of ``seen`` (sha256)."""
+    p = pages.where(F.regexp_count("text", F.lit(r"[\x{4e00}-\x{9fff}]")) >= least_han).withColumn("sha256", F.sha2("text", 256))
+    one = p.groupBy("sha256").agg(F.min_by(F.struct(*pages.columns), order).alias("_r")).select("_r.*", "sha256")
+    return one.join(seen.select("sha256"), "sha256", "left_anti") if seen is not None else one
+
+
+def passed_reviews(*rounds: DataFrame) -> DataFrame:
+    """Ids that people passed in any round (id, decision)."""
+    out = rounds[0].select("id", "decision")
+    for r in rounds[1:]:
+        out = out.unionByName(r.select("id", "decision"))
+    return out.where("decision = 'pass'").select("id").distinct()
+
+
+def merge_candidates(old: DataFrame, new: DataFrame, by: str = "type") -> DataFrame:
+    """Candidates with the types of ``new`` replaced; new rows are numbered on after the greatest qid that stays."""
+    keep = old.join(new.select(by).distinct(), by, "left_anti")
+    top = keep.agg(F.coalesce(F.max("qid"), F.lit(0)).alias("_top"))
+    # candidates are a few thousand rows by nature
+    r = F.row_number().over(Window.orderBy(by, "question"))
+    fresh = new.crossJoin(F.broadcast(top)).withColumn("qid", (F.col("_top") + r).cast("long")).drop("_top")
+    return keep.unionByName(fresh.select(*keep.columns))
+
+
+def related_pairs(passages: DataFrame, n: int, tries: int = 10, seed: int = 3) -> DataFrame:
+    """The n most alike pairs of passages of different documents among a random sample of pairs.
+
+    ``passages`` has text_id, doc_id and text. At least 60 and ``tries`` * n pairs are tried: two
+    rankings by hash, joined place by place, so that no cross join is formed.
+    """
+    k = max(60, tries * n)
+    side = lambda s, x: passages.orderBy(F.xxhash64("text_id", F.lit(s)), "text_id").limit(k).withColumn("_p", F.row_number().over(Window.orderBy(F.xxhash64("text_id", F.lit(s)), "text_id"))).select("_p", F.col("text_id").alias(f"{x}_id"), F.col("doc_id").alias(f"_{x}"), F.col("text").alias(f"_t{x}"))
+    from tarn.functions.text import jaccard
+
+    j = side(seed, "a").join(side(seed + 1, "b"), "_p").where("_a <> _b")
+    return j.select("a_id", "b_id", F.round(jaccard(F.col("_ta"), F.col("_tb")), 6).alias("jaccard")).orderBy(F.desc("jaccard"), "a_id", "b_id").limit(n)
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Share of two lists' union that both have, 1 if both are empty."""
+    u = F.size(F.array_union(a, b))
+    return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(1.0))
+
+
+def order_match(a: Column, b: Column) -> Column:
+    """Share of places at which two lists agree, of the longer list; 1 if both are empty."""
+    n = F.greatest(F.size(a), F.size(b))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull()), lambda x: x))
+    return F.when(n > 0, same / n).otherwise(F.lit(1.0))
+
+
+def split_fragments(children: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Self-check of a test corpus: fragments (doc_id, fragment) that no child holds whole are found; each document's fragments must lie in different children.
+
+    Rows (doc_id, fragments, children, ok).
+    """
+    j = fragments.join(children.select("doc_id", "chunk_uid", "text"), "doc_id", "left").where(F.contains("text", F.col("fragment")))
+    first = j.groupBy("doc_id", "fragment").agg(F.min("chunk_uid").alias("chunk_uid"))
+    n = fragments.groupBy("doc_id").agg(F.count_distinct("fragment").alias("fragments"))
+    c = first.groupBy("doc_id").agg(F.count("*").alias("_found"), F.count_distinct("chunk_uid").alias("children"))
+    return n.join(c, "doc_id", "left").select("doc_id", "fragments", F.coalesce("children", F.lit(0)).alias("children"), ((F.coalesce("_found", F.lit(0)) == F.col("fragments")) & (F.coalesce("children", F.lit(0)) == F.col("fragments"))).alias("ok"))

@@ -237,6 +237,11 @@ SELECT id, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PART
     "sc_markdown_table": "SELECT doc_id, CASE WHEN v IS NULL THEN '—' WHEN abs(v) < 1 THEN printf('%.4f', v) ELSE format('{:,.2f}', v) END AS shown FROM (SELECT doc_id, max(size_kb) AS v FROM manifest GROUP BY 1)",
     "st_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "st_sessions": "WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, k",
+    "qc_fresh_pages": "WITH p AS (SELECT doc_id AS url, text FROM documents WHERE length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) >= 150) SELECT min(url) AS url, sha256(text) AS sha256 FROM p GROUP BY text",
+    "qc_passed": f"SELECT id FROM calibration WHERE {_verdict('human.label')} = 'pass' UNION SELECT id FROM judge_spotcheck_v1 WHERE {_verdict('human_verdict')} = 'pass'",
+    "qc_merge_candidates": f"WITH {ITEMS}, i AS (SELECT type, question, min(CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT)) AS qid FROM items WHERE type IN ('factual', 'multi_hop') GROUP BY 1, 2) SELECT qid, type, md5(question) AS question FROM i WHERE type = 'factual' UNION ALL SELECT (SELECT max(qid) FROM i WHERE type = 'factual') + row_number() OVER (ORDER BY type, question), type, md5(question) FROM i WHERE type = 'multi_hop'",
+    "ev_order_parity": f"WITH {ITEMS}, l AS (SELECT id, list_transform(coalesce(key_claims, []::VARCHAR[]), lambda x: trim(x)) AS a, list_filter(regexp_split_to_array(ground_truth, '[。；]'), lambda x: x <> '') AS b FROM items WHERE ground_truth IS NOT NULL) SELECT id, CASE WHEN len(list_distinct(a || b)) > 0 THEN round(len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(a || b)), 6) ELSE 1.0 END AS overlap, CASE WHEN greatest(len(a), len(b)) > 0 THEN round(len(list_filter(generate_series(1, least(len(a), len(b))), lambda i: a[i] = b[i])) / greatest(len(a), len(b)), 6) ELSE 1.0 END AS in_place FROM l",
+    "ev_parity": f"WITH {ITEMS}, {RES}, b AS (SELECT id, min(question) AS question FROM res GROUP BY 1) SELECT count(i.id) AS left_rows, count(b.id) AS right_rows, count(*) FILTER (WHERE i.id IS NOT NULL AND b.id IS NOT NULL) AS both, count(*) FILTER (WHERE i.id IS NOT NULL AND b.id IS NOT NULL AND i.question IS NOT DISTINCT FROM b.question) AS same FROM items i FULL JOIN b ON i.id = b.id",
 }
 
 

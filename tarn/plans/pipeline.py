@@ -112,6 +112,21 @@ class Index:
         ranked = R.rerank(pool, s.rerank_top, score=R.overlap_score(F.col("query"), F.col("text")) if s.rerank else None)
         return R.context_blocks(ranked, self.tables["parents"], R.context_size(ranked, s.base_k, s.max_k))
 
+    def retrieve_many(self, questions: DataFrame, queries: DataFrame, most: int = 4, settings: Settings | None = None) -> DataFrame:
+        """Blocks of questions that several search queries stand for: rows (question_id, rank, parent_id, doc_id, text, rerank_score).
+
+        ``queries`` has question_id, ord and query, at most ``most`` of a question count. Each is retrieved on its own; a parent
+        keeps its best score, and the number of blocks follows the original question. A question with one query has that query's blocks.
+        """
+        s = settings or self.settings
+        q = queries.where(F.col("ord") < most).select("question_id", F.struct("question_id", "ord").alias("qid"), F.col("query").alias("question"))
+        b = self.retrieve(q.select("qid", "question"), s).withColumn("question_id", F.col("qid.question_id"))
+        m = R.merge_blocks(b)
+        size = R.context_size(m.join(questions.select(F.col("qid").alias("question_id"), F.col("question").alias("query")), "question_id"), s.base_k, s.max_k, qid="question_id")
+        one = q.groupBy("question_id").agg(F.count("*").alias("_n"))
+        got = m.join(size, "question_id").join(one, "question_id").where("rank <= take or _n = 1").select("question_id", "rank", "parent_id", "rerank_score")
+        return got.join(self.tables["parents"].select("parent_id", "doc_id", "text"), "parent_id").select("question_id", "rank", "parent_id", "doc_id", "text", "rerank_score")
+
     def answer(self, questions: DataFrame, generate: Callable[[Column, Column], Column], settings: Settings | None = None) -> DataFrame:
         """(qid, question, context, answer, citation counts): ``generate`` makes an answer of question and context."""
         b = self.retrieve(questions, settings)
@@ -129,3 +144,53 @@ class Index:
         """Parents of a document in order, long ones as excerpts."""
         p = self.tables["parents"].where(F.col("doc_id") == doc_id)
         return p.orderBy("ord").select("parent_id", excerpt(F.col("text")).alias("text"))
+
+
+def judge_pending(rows: DataFrame, cache: DataFrame, key: Column, judge: Callable[[Column], Column], prompt: Column) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of rows, the judge asked only for what the cache (key, value, created_at) lacks; and the cache with what is new.
+
+    ``judge`` makes free text of a prompt; text without a decided verdict and evidence is asked about once more, then left null.
+    """
+    from tarn.functions.records import verdict_json
+    from tarn.operators.curation import upsert
+    from tarn.storage import Scratch
+
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "judge")
+    r = scratch.cut(rows.withColumn("key", key).withColumn("_prompt", prompt), "rows")
+    new = r.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"]).select("key", "_prompt")
+    asked = scratch.cut(new.withColumn("_t", judge(F.col("_prompt"))), "asked")
+    bad = asked.where(verdict_json(F.col("_t")).isNull())
+    again = bad.select("key", judge(F.concat("_prompt", F.lit("\n只输出一个 JSON 对象。"))).alias("_t"))
+    got = scratch.cut(asked.where(verdict_json(F.col("_t")).isNotNull()).select("key", "_t").unionByName(again), "answers")
+    made = got.where(verdict_json(F.col("_t")).isNotNull()).select("key", F.to_json(verdict_json(F.col("_t"))).alias("value"), F.current_timestamp().alias("created_at"))
+    full = scratch.cut(upsert(cache.select("key", "value", "created_at"), made, ["key"], "created_at"), "cache")
+    out = r.drop("_prompt").join(full.select("key", F.from_json("value", "verdict string, evidence string, reason string").alias("judged")), "key", "left")
+    return out, full
+
+
+def prompts(folder: str) -> dict[str, str]:
+    """Prompt texts by version: the Markdown files of a folder, by their names."""
+    from pathlib import Path
+
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(folder).glob("*.md"))}
+
+
+def load_settings(path: str) -> Settings:
+    """Settings of a JSON file, or a YAML file where a reader is installed; defaults for what it lacks or if it is missing."""
+    import json
+    from pathlib import Path
+
+    p = Path(path)
+    if not p.is_file():
+        return Settings()
+    if p.suffix == ".json":
+        found = json.loads(p.read_text(encoding="utf-8"))
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("reading YAML settings needs the yaml package") from e
+        found = yaml.safe_load(p.read_text(encoding="utf-8")) or {}
+    known = {k: tuple(v) if isinstance(v, list) else v for k, v in found.items() if k in Settings.__dataclass_fields__}
+    return Settings(**known)

@@ -94,3 +94,43 @@ def test_retries_only_transient_errors():
     with pytest.raises(ValueError):
         with_retries(f, tries=3, wait=0)(ValueError())
     assert len(calls) == 4
+
+
+def test_judge_is_asked_only_for_what_is_missing(spark):
+    from tarn.plans.pipeline import judge_pending, load_settings, model_udf
+
+    rows = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", "good")], "id string, answer string")
+    cache = spark.createDataFrame([], "key string, value string, created_at timestamp")
+    ask = model_udf(lambda t: ['{"verdict": "pass", "evidence": "e"}' if "good" in x else "no idea" for x in t])
+    out, full = judge_pending(rows, cache, J.cache_key(answer=F.col("answer")), ask, F.col("answer"))
+    assert {r.id: r.judged.verdict if r.judged else None for r in out.collect()} == {"1": "pass", "2": None, "3": "pass"}
+    never = model_udf(lambda t: [1 / 0 for _ in t])
+    again, _ = judge_pending(rows.where("answer = 'good'"), full, J.cache_key(answer=F.col("answer")), never, F.col("answer"))
+    assert again.where("judged.verdict = 'pass'").count() == 2
+    assert load_settings("/nowhere.json") == Settings()
+
+
+def test_several_queries_of_one_question(spark, tmp_path):
+    pages = spark.createDataFrame([("d1", 0, "保修期为两年。" * 30), ("d2", 0, "运费由责任方承担。" * 30)], "doc_id string, page int, text string")
+    ix = Index.build(pages, str(tmp_path / "ix"))
+    q = spark.createDataFrame([(1, "保修期和运费？")], "qid int, question string")
+    s = spark.createDataFrame([(1, 0, "保修期"), (1, 1, "运费"), (1, 7, "x")], "question_id int, ord int, query string")
+    b = ix.retrieve_many(q, s).collect()
+    assert {r.doc_id for r in b} == {"d1", "d2"} and sorted(r.rank for r in b) == [1, 2]
+
+
+def test_small_curation_operators(spark):
+    from tarn.operators import curation as Q
+
+    p = spark.createDataFrame([("u2", "字" * 150), ("u1", "字" * 150), ("u3", "字"), ("u4", "文" * 200)], "url string, text string")
+    assert sorted(r.url for r in Q.fresh_pages(p).collect()) == ["u1", "u4"]
+    seen = Q.fresh_pages(p).where("url = 'u4'")
+    assert [r.url for r in Q.fresh_pages(p, seen).collect()] == ["u1"]
+    t = spark.createDataFrame([(i, f"d{i % 5}", "退款" * 5 + chr(0x4E00 + i)) for i in range(30)], "text_id int, doc_id string, text string")
+    assert Q.related_pairs(t, 3).count() == 3
+    kids = spark.createDataFrame([("d", "d:c0", "xx忽略"), ("d", "d:c1", "以上yy")], "doc_id string, chunk_uid string, text string")
+    f = spark.createDataFrame([("d", "忽略"), ("d", "以上"), ("e", "无")], "doc_id string, fragment string")
+    assert {r.doc_id: r.ok for r in Q.split_fragments(kids, f).collect()} == {"d": True, "e": False}
+    u = spark.createDataFrame([('{"prompt_tokens": 3, "prompt_tokens_details": {"cached_tokens": 1}}',)], "u string").select(J.usage_of(F.col("u")).alias("u")).first().u
+    assert (u.prompt_tokens, u.cache_hit_tokens, u.completion_tokens) == (3, 1, None)
+    assert spark.range(1).select(J.trace_id(F.lit("2026-01-02 03:04:05").cast("timestamp"))).first()[0].startswith("t20260102030405-")
