@@ -137,7 +137,9 @@ def _verified(pairs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFram
     g = prints.select("key", "grams")
     common = F.size(F.array_intersect("ga", "gb"))
     dice = 2.0 * common / (F.size("ga") + F.size("gb"))
-    return scratch.cut(near.join(g.toDF("a", "ga"), "a").join(g.toDF("b", "gb"), "b").where(dice >= SIMILARITY).select("a", "b"), "links")
+    out = scratch.cut(near.join(g.toDF("a", "ga"), "a").join(g.toDF("b", "gb"), "b").where(dice >= SIMILARITY).select("a", "b"), "links")
+    scratch.drop(near)
+    return out
 
 
 def _met(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -167,6 +169,7 @@ def near_links(prints: DataFrame, scratch: Scratch, pairs_at_anchor: int = PAIRS
     here = scratch.cut(home.join(load.select("anchor", "large"), "anchor"), "homes")
     links = _verified(_met(here.where("not large"), live.where("not large")), prints, scratch)
     if load.where("large").isEmpty():
+        scratch.drop(load, live, here)
         return links
     big_home, big_near = here.where("large").drop("large"), live.where("large").drop("large")
     lead = scratch.cut(big_home.groupBy("anchor").agg(F.min("key").alias("key")), "leads")
