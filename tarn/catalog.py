@@ -15,6 +15,7 @@ from tarn.operators import curation as Q
 from tarn.operators import evaluation as E
 from tarn.operators import retrieval as R
 from tarn.oracles import ORACLE  # noqa: F401
+from tarn.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +28,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
     @wraps(f)
     def run(spark: SparkSession, sf: str) -> DataFrame:
+        settle(spark)
         df = f(spark, sf)
         return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if t == "int" else F.col(f"`{c}`") for c, t in df.dtypes])
 

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import tokens
+from tarn.session import ship
 
-#: Questions up to this many are broadcast to the vectors, at 600 bytes each; more are worked on in blocks.
+#: Questions that are held at once, at 600 bytes each; more are worked on in blocks.
 BROADCAST_QUESTIONS = 20_000
+#: Terms of questions that are held at once.
+QUESTION_TERMS = 1_000_000
 DIM = 64
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -30,24 +35,58 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def _blocks(questions: DataFrame, qid: str, size: int, most: int) -> list[DataFrame]:
+    """Questions in blocks by a hash of their id, about ``most`` of ``size`` in each: what the driver holds of them at once is bound."""
+    n = math.ceil(size / most)
+    return [questions] if n <= 1 else [questions.where(F.pmod(F.xxhash64(qid), F.lit(n)) == i) for i in range(n)]
+
+
+def _best(score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k smallest scores, ties by ``order``."""
+    if len(score) > k:
+        at = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
+    else:
+        at = np.arange(len(score))
+    return at[np.lexsort((order[at], score[at]))][:k]
+
+
+def _merged(parts: list[DataFrame], order: list[Column], k: int, qid: str) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def nearest(questions: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", row: str = "row_id", digits: int = 9) -> DataFrame:
     """Exact k nearest vectors of each question by squared L2 distance: rows (qid, row_id, score, rank).
 
-    A stated set of questions against all vectors: questions are broadcast in
-    blocks of at most BROADCAST_QUESTIONS, every vector is read once a block, and the k nearest of each
-    question are kept within each task before anything is shuffled. Ties go to the lower row.
+    A stated set of questions against all vectors: a block of questions goes to every task as one
+    matrix, each batch of vectors is one matrix product, and only the k nearest of each
+    question in a batch leave it. Ties go to the lower row. Vectors of a length other than the questions' are an error.
     """
-    q = questions.select(qid, F.col("embedding").alias("_q"))
-    v = vectors.select(row, F.col("embedding").alias("_v"))
-    blocks = max(1, math.ceil(q.count() / BROADCAST_QUESTIONS))
-    w = Window.partitionBy(qid).orderBy("score", row)
-    out = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == i)
-        d = v.join(F.broadcast(part)).select(qid, row, F.round(squared_distance(F.col("_q"), F.col("_v")), digits).alias("score"))
-        top = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+    ship(questions.sparkSession)
+    types = dict(questions.dtypes) | {row: dict(vectors.dtypes)[row]}
+    v = vectors.select(row, F.col("embedding").cast("array<double>").alias("embedding"))
+    parts = []
+    for block in _blocks(questions.select(qid, F.col("embedding").cast("array<double>").alias("embedding")), qid, questions.count(), BROADCAST_QUESTIONS):
+        held = block.collect()
+        ids = [r[0] for r in held]
+        m = np.array([r[1] for r in held], dtype=np.float64).reshape(len(held), -1)
+
+        def run(batches, ids=ids, m=m):
+            own = (m * m).sum(axis=1)
+            for pdf in batches:
+                for a in range(0, len(pdf) if ids else 0, 4096):
+                    part = pdf.iloc[a : a + 4096]
+                    x = np.stack(part["embedding"].to_numpy())
+                    d = np.round(np.maximum(own[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (m @ x.T), 0.0), digits)
+                    order = part[row].rank(method="first").to_numpy()
+                    best = [_best(d[i], order, k) for i in range(len(ids))]
+                    rows = part[row].to_numpy()
+                    yield pd.DataFrame({qid: np.repeat(np.array(ids, dtype=object), [len(b) for b in best]), row: rows[np.concatenate(best)], "score": np.concatenate([d[i][b] for i, b in enumerate(best)])})
+
+        parts.append(v.mapInPandas(run, f"{qid} {types[qid]}, {row} {types[row]}, score double"))
+    return _merged(parts, [F.col("score"), F.col(row)], k, qid)
 
 
 def postings(chunks: DataFrame, row: str = "row_id", text: str = "text") -> DataFrame:
@@ -73,23 +112,72 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", text
     again. Ties and, with ``pad``, the places that no matching chunk fills
     (score 0) go to the lowest rows of the corpus. A question without terms has no hits.
     Scores are rounded to ``digits``, as sums of doubles depend on their order.
+
+    Postings are made of the questions' own terms only and gathered by chunk; questions go to every task as lists by
+    term, scores of a batch of chunks are one matrix, and only the k best of each question leave it. No pair of
+    question and chunk is ever a row.
     """
-    posts = postings(chunks)
-    total = chunks.agg(F.count("*").alias("n"), F.sum(F.size(tokens(F.col("text")))).alias("len")).first()
-    n, avgdl = total.n, (total.len or 0) / max(total.n, 1)
-    w = posts.join(term_weights(posts, n), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (avgdl or 1.0)))
-    w = w.select("term", "row_id", part.alias("s"))
+    ship(questions.sparkSession)
+    row_type, q_type = dict(chunks.dtypes)["row_id"], dict(questions.dtypes)[qid]
+    toks = chunks.select("row_id", tokens(F.col("text")).alias("_t"))
+    total = toks.agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("len")).first()
+    n, avgdl = total.n, (total.len or 0) / max(total.n, 1) or 1.0
+    weights = term_weights(postings(chunks), n)
     q = questions.select(qid, F.explode(tokens(F.col(text))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("times"))
-    hits = q.join(w, "term").groupBy(qid, "row_id").agg(F.round(F.sum(F.col("s") * F.col("times")), digits).alias("score"))
+    parts = []
+    for block in _blocks(q.groupBy(qid).agg(F.collect_list(F.struct("term", "times")).alias("_q")), qid, q.count(), QUESTION_TERMS):
+        held = block.collect()
+        ids = [r[0] for r in held]
+        names = sorted({t.term for r in held for t in r[1]})
+        number = {t: i for i, t in enumerate(names)}
+        flat = sorted((number[t.term], i, float(t.times)) for i, r in enumerate(held) for t in r[1])
+        term_no, who, times = (np.array(x) for x in zip(*flat, strict=True)) if flat else (np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))
+        first = np.searchsorted(term_no, np.arange(len(names) + 1))
+        vocabulary = questions.sparkSession.createDataFrame(pd.DataFrame({"term": names, "_no": np.arange(len(names), dtype=np.int32)}), "term string, _no int")
+        # terms of at most BROADCAST_QUESTIONS questions
+        known = F.broadcast(vocabulary.join(weights, "term").select("term", "_no", "idf"))
+        post = toks.select("row_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(known, "term").groupBy("row_id", "_no").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"))
+        s = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+        docs = post.select("row_id", "_no", s.alias("_s")).groupBy("row_id").agg(F.collect_list("_no").alias("_no"), F.collect_list("_s").alias("_s"))
+
+        def run(batches, ids=ids, who=who, times=times, first=first):
+            wide = max(1, 4_000_000 // max(1, len(ids)))
+            for pdf in batches:
+                for a in range(0, len(pdf), wide):
+                    part = pdf.iloc[a : a + wide]
+                    sizes = part["_no"].map(len).to_numpy()
+                    no, w = np.concatenate(part["_no"].to_numpy()), np.concatenate(part["_s"].to_numpy())
+                    doc = np.repeat(np.arange(len(part)), sizes)
+                    many = first[no + 1] - first[no]
+                    at = np.repeat(first[no] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+                    cell = who[at] * len(part) + np.repeat(doc, many)
+                    size = len(ids) * len(part)
+                    score = np.bincount(cell, weights=np.repeat(w, many) * times[at], minlength=size).reshape(len(ids), -1)
+                    met = (np.bincount(cell, minlength=size) > 0).reshape(len(ids), -1)
+                    order, rows = part["row_id"].rank(method="first").to_numpy(), part["row_id"].to_numpy()
+                    who_, row_, sc = [], [], []
+                    for i in range(len(ids)):
+                        hit = np.flatnonzero(met[i])
+                        if len(hit):
+                            neg = -np.round(score[i, hit], digits)
+                            b = _best(neg, order[hit], k)
+                            who_ += [ids[i]] * len(b)
+                            row_.append(rows[hit[b]])
+                            sc.append(-neg[b])
+                    if who_:
+                        yield pd.DataFrame({qid: who_, "row_id": np.concatenate(row_), "score": np.concatenate(sc)})
+
+        parts.append(docs.mapInPandas(run, f"{qid} {q_type}, row_id {row_type}, score double"))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
     if pad:
-        first = chunks.select("row_id").orderBy("row_id").limit(2 * k)
-        have = q.select(qid).distinct()
-        fill = have.join(F.broadcast(first))  # 2 k rows
-        # zeros, and any negative scores, sort behind: only the first rows can fill the list
-        hits = fill.join(hits, [qid, "row_id"], "left_anti").select(qid, "row_id", F.lit(0.0).alias("score")).unionByName(hits)
-    r = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("score"), "row_id"))
-    return hits.withColumn("rank", r).where(F.col("rank") <= k)
+        first_rows = chunks.select("row_id").orderBy("row_id").limit(2 * k)
+        fill = q.select(qid).distinct().join(F.broadcast(first_rows))  # 2 k rows for each question
+        # zeros sort before any negative score: only the first rows can fill the list, those that match no term
+        matched = toks.join(F.broadcast(first_rows), "row_id").select("row_id", F.explode(F.array_distinct("_t")).alias("term")).join(q, "term").select(qid, "row_id").distinct()
+        hits = fill.join(matched, [qid, "row_id"], "left_anti").select(qid, "row_id", F.lit(0.0).alias("score")).unionByName(hits)
+    return _merged([hits], [F.desc("score"), F.col("row_id")], k, qid)
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, strategy: str = "rrf", k: int = 60, qid: str = "qid", uid: str = "row_id") -> DataFrame:

@@ -85,7 +85,7 @@ class Index:
         c = scratch.cut(chunk(pages, s.parent, s.child), "chunks")
         kids = children_of(c)
         # the corpus order: documents and their chunks
-        kids = kids.withColumn("row_id", F.struct(F.col("doc_id").cast("string"), "ord"))
+        kids = kids.withColumn("row_id", F.col("chunk_uid"))
         vectors = R.histogram(kids.drop("row_id"), "chunk_uid", "text")
         write_snapshot({"children": kids, "parents": parents_of(c), "vectors": vectors}, root)
         return cls.load(pages.sparkSession, root, s)

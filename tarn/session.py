@@ -23,12 +23,19 @@ def get_session(master: str = "local[*]", app: str = "tarn", **more: str) -> Spa
     return b.getOrCreate()
 
 
+def settle(spark: SparkSession) -> None:
+    """Turn off the partitioning that Spark 4.1 passes through unions: adaptive plans over such a union can
+    fail with "Can't zip RDDs with unequal numbers of partitions" when one side was coalesced."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers on other machines this package; once for each Spark context."""
     import tempfile
     import zipfile
     from pathlib import Path
 
+    settle(spark)
     sc = spark.sparkContext
     if getattr(sc, "_tarn_shipped", False):
         return

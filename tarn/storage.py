@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.session import settle
+
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -29,6 +31,7 @@ class Scratch:
     """Tables that one operator run writes below the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
+        settle(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
