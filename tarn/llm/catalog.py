@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tarn.llm import _items as I
 from tarn.llm.oracles import ORACLE  # noqa: F401
+from tarn.session import settle
 from tarn.storage import Scratch
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
