@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.functions.text import tokens
 from tarn.session import ship
@@ -41,6 +42,12 @@ def _blocks(questions: DataFrame, qid: str, size: int, most: int) -> list[DataFr
     return [questions] if n <= 1 else [questions.where(F.pmod(F.xxhash64(qid), F.lit(n)) == i) for i in range(n)]
 
 
+def _named(hits: DataFrame, ids: list, kind: T.DataType, qid: str) -> DataFrame:
+    """Hits by a question's place in its block, with its id instead."""
+    names = hits.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], T.StructType([T.StructField("_i", T.LongType()), T.StructField(qid, kind)]))
+    return hits.join(F.broadcast(names), "_i").drop("_i")  # a block of questions
+
+
 def _best(score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k smallest scores, ties by ``order``."""
     if len(score) > k:
@@ -65,7 +72,7 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int, qid: str = "qid",
     question in a batch leave it. Ties go to the lower row. Vectors of a length other than the questions' are an error.
     """
     ship(questions.sparkSession)
-    types = dict(questions.dtypes) | {row: dict(vectors.dtypes)[row]}
+    kind = dict(vectors.dtypes)[row]
     v = vectors.select(row, F.col("embedding").cast("array<double>").alias("embedding"))
     parts = []
     for block in _blocks(questions.select(qid, F.col("embedding").cast("array<double>").alias("embedding")), qid, questions.count(), BROADCAST_QUESTIONS):
@@ -83,9 +90,9 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int, qid: str = "qid",
                     order = part[row].rank(method="first").to_numpy()
                     best = [_best(d[i], order, k) for i in range(len(ids))]
                     rows = part[row].to_numpy()
-                    yield pd.DataFrame({qid: np.repeat(np.array(ids, dtype=object), [len(b) for b in best]), row: rows[np.concatenate(best)], "score": np.concatenate([d[i][b] for i, b in enumerate(best)])})
+                    yield pd.DataFrame({"_i": np.repeat(np.arange(len(ids)), [len(b) for b in best]), row: rows[np.concatenate(best)], "score": np.concatenate([d[i][b] for i, b in enumerate(best)])})
 
-        parts.append(v.mapInPandas(run, f"{qid} {types[qid]}, {row} {types[row]}, score double"))
+        parts.append(_named(v.mapInPandas(run, f"_i long, {row} {kind}, score double"), ids, questions.schema[qid].dataType, qid).select(qid, row, "score"))
     return _merged(parts, [F.col("score"), F.col(row)], k, qid)
 
 
@@ -118,7 +125,7 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", text
     question and chunk is ever a row.
     """
     ship(questions.sparkSession)
-    row_type, q_type = dict(chunks.dtypes)["row_id"], dict(questions.dtypes)[qid]
+    row_type = dict(chunks.dtypes)["row_id"]
     toks = chunks.select("row_id", tokens(F.col("text")).alias("_t"))
     total = toks.agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("len")).first()
     n, avgdl = total.n, (total.len or 0) / max(total.n, 1) or 1.0
@@ -161,13 +168,13 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", text
                         if len(hit):
                             neg = -np.round(score[i, hit], digits)
                             b = _best(neg, order[hit], k)
-                            who_ += [ids[i]] * len(b)
+                            who_ += [i] * len(b)
                             row_.append(rows[hit[b]])
                             sc.append(-neg[b])
                     if who_:
-                        yield pd.DataFrame({qid: who_, "row_id": np.concatenate(row_), "score": np.concatenate(sc)})
+                        yield pd.DataFrame({"_i": who_, "row_id": np.concatenate(row_), "score": np.concatenate(sc)})
 
-        parts.append(docs.mapInPandas(run, f"{qid} {q_type}, row_id {row_type}, score double"))
+        parts.append(_named(docs.mapInPandas(run, f"_i long, row_id {row_type}, score double"), ids, questions.schema[qid].dataType, qid).select(qid, "row_id", "score"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
