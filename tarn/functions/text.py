@@ -54,7 +54,7 @@ def sentences(c: Column) -> Column:
 
 
 def marker_texts(c: Column) -> Column:
-    """Citation marks of one to three digits, as written, in half or full width."""
+    """Citation marks of one to three digits, as written, in half or full width (the pattern is a fixed value)."""
     return F.regexp_extract_all(c, F.lit(r"(\[\d{1,3}\]|【\d{1,3}】)"), 1)
 
 
@@ -98,7 +98,7 @@ def passage_is_rich(c: Column) -> Column:
 
 
 def question_norm(c: Column) -> Column:
-    """A question without blanks and the usual marks, for exact comparison."""
+    """A question without blanks and the usual marks, for exact comparison (the marks are fixed values)."""
     return F.regexp_replace(c, r"""[\s，。？！,.?!；;：:"'“”‘’（）()\[\]]""", "")
 
 
@@ -129,7 +129,7 @@ def stem(path: Column) -> Column:
 
 
 def clean_html(c: Column) -> Column:
-    """Title-free text of a page: scripts and styles out, blocks on lines of their own, tags off, the common entities decoded, blanks squeezed."""
+    """Title-free text of a page: scripts and styles out, blocks on lines of their own, tags off, the common entities decoded, blanks squeezed (the block tags are fixed values)."""
     t = F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>", "")
     t = F.regexp_replace(t, r"(?i)</?(h[1-6]|p|li|ul|ol|div|br|tr|td|th|section|article)[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", "")

@@ -18,6 +18,7 @@ BROADCAST_QUESTIONS = 20_000
 #: Terms of questions that are held at once.
 QUESTION_TERMS = 1_000_000
 DIM = 64
+# Constants of BM25 and the context heading below are fixed values.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 

@@ -8,6 +8,8 @@ rounds.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only where none is set (tests)."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tarn-")
+        own = tempfile.mkdtemp(prefix="tarn-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
 
