@@ -320,7 +320,7 @@ def tx_busy_hours(spark: SparkSession, sf: str) -> DataFrame:
     """Working-hour flag of a run's start: Monday to Friday, 9 to 12 and 14 to 18."""
     t = F.col("started_at")
     busy = (F.weekday(t) < 5) & (F.hour(t).between(9, 11) | F.hour(t).between(14, 17))
-    return _results(spark, sf).groupBy(busy.alias("busy")).agg(F.count("*").alias("n"), F.round(F.sum("cost_cny"), 4).alias("cost"))
+    return _results(spark, sf).groupBy(busy.alias("busy")).agg(F.count("*").alias("n"), F.round(F.round(F.sum("cost_cny"), 9), 4).alias("cost"))
 
 
 @query
@@ -423,7 +423,7 @@ def ev_cost_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of each run until its cost passes a guard: the running sum before a row decides."""
     w = Window.partitionBy("run_id").orderBy("started_at", "trace_id").rowsBetween(Window.unboundedPreceding, -1)
     r = _results(spark, sf).withColumn("before", F.round(F.coalesce(F.sum("cost_cny").over(w), F.lit(0.0)), 6)).where("before < 0.5")
-    return r.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("cost_cny"), 4).alias("cost"))
+    return r.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.round(F.sum("cost_cny"), 9), 4).alias("cost"))
 
 
 @query
@@ -524,7 +524,7 @@ def qc_failures(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def qc_runs(spark: SparkSession, sf: str) -> DataFrame:
     r = _results(spark, sf)
-    return r.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("cost_cny"), 4).alias("total_cny"), F.round(F.avg("cost_cny"), 4).alias("per_item_cny"), F.round(F.percentile("latency_ms", F.lit(0.5)), 0).alias("p50_ms"), F.round(F.percentile("latency_ms", F.lit(0.95)), 0).alias("p95_ms"))
+    return r.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.round(F.sum("cost_cny"), 9), 4).alias("total_cny"), F.round(F.round(F.avg("cost_cny"), 9), 4).alias("per_item_cny"), F.round(F.round(F.percentile("latency_ms", F.lit(0.5)), 6), 0).alias("p50_ms"), F.round(F.round(F.percentile("latency_ms", F.lit(0.95)), 6), 0).alias("p95_ms"))
 
 
 @query
@@ -686,7 +686,7 @@ def st_windows(spark: SparkSession, sf: str) -> DataFrame:
     from tarn.streaming.events import windowed
 
     w = windowed(_t(spark, sf, "events"), "1 hour")
-    return w.select(F.col("window.start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+    return w.select(F.col("window.start").alias("start"), "event_type", "n", F.round(F.round("value", 9), 4).alias("value"))
 
 
 @query
@@ -694,7 +694,7 @@ def st_sessions(spark: SparkSession, sf: str) -> DataFrame:
     from tarn.streaming.events import sessions
 
     s = sessions(_t(spark, sf, "events"), "30 minutes")
-    return s.select("user_id", F.col("session_window.start").alias("start"), "n", F.round("value", 4).alias("value"))
+    return s.select("user_id", F.col("session_window.start").alias("start"), "n", F.round(F.round("value", 9), 4).alias("value"))
 
 
 @query

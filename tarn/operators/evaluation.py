@@ -52,12 +52,12 @@ def summarise(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     ``results`` has metrics (a struct), cost_cny and latency_ms. Absent metrics are null and count nowhere.
     """
     m = lambda n: F.col("metrics").getField(n)
-    agg = [F.count("*").alias("n"), F.round(F.avg(m("recall@5")), 4).alias("recall5"), F.round(F.avg(m("mrr")), 4).alias("mrr")]
+    agg = [F.count("*").alias("n"), F.round(F.round(F.avg(m("recall@5")), 9), 4).alias("recall5"), F.round(F.round(F.avg(m("mrr")), 9), 4).alias("mrr")]
     for name in ("refused", "false_refusal", "oos_refusal_pass"):
         k, n = F.count_if(m(name)), F.count(m(name))
         lo, hi = wilson(k, n)
         agg += [k.alias(f"{name}_k"), n.alias(f"{name}_n"), F.round(rate(k, n), 4).alias(name), lo.alias(f"{name}_lo"), hi.alias(f"{name}_hi")]
-    agg += [F.round(F.sum("cost_cny"), 4).alias("cost"), F.round(F.sum("cost_cny") / F.count("*"), 5).alias("cost_per_item")]
+    agg += [F.round(F.round(F.sum("cost_cny"), 9), 4).alias("cost"), F.round(F.round(F.sum("cost_cny") / F.count("*"), 9), 5).alias("cost_per_item")]
     agg += [F.round(F.round(percentile(F.col("latency_ms"), q), 6), 1).alias(f"p{int(q * 100)}_ms") for q in (0.5, 0.95)]
     agg += [F.round(F.round(F.avg("latency_ms"), 6), 1).alias("mean_ms"), F.count("latency_ms").alias("timed")]
     return results.groupBy(*(by or [])).agg(*agg)
