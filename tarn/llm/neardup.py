@@ -10,6 +10,12 @@ blocks, about 28 anchors of 2 ** 24. Two words that differ in at most one bit
 of each block thus meet at the home anchor of either; they are compared there,
 and many pairs farther apart meet too. Only pairs that met are compared by
 their text.
+
+Meeting is a matter of luck near the limit of similarity, so the anchors only
+find the bulk of a class cheaply. Whatever is not yet in one class is then
+sought exactly: with the trigrams of every text in one order, rare ones first,
+two texts that are similar enough must share a trigram among the first of
+each (a prefix filter), and no bound used there leaves out a similar pair.
 """
 
 from __future__ import annotations
@@ -38,6 +44,12 @@ SIMILARITY = 0.7
 MOST_BITS = int(0.225 * TABLES * 2 * BLOCK)
 #: An anchor with more pairs than this is worked on in two steps, without forming all its pairs.
 PAIRS_AT_ANCHOR = 20_000
+#: Trigrams are counted in this many buckets to be put in order; any order gives the same links.
+BUCKETS = 1 << 18
+#: Words of 64 bits of a text's parity map, each bit the parity of the trigrams that fall on it.
+PARITY = 8
+#: Pairs at a trigram that are looked at together.
+PAIRS_AT_ONCE = 200_000
 
 _MARKS = re.compile(r"[\W_]+")
 
@@ -128,20 +140,150 @@ def _fingerprints(batches):
             yield pd.DataFrame({"key": part["key"], "fp": [(w[0::2] << BLOCK) | w[1::2] for w in words], "home": [h for h, _ in both], "near": [n for _, n in both], "grams": [grams(t, 3).view(np.int64) for t in part["plain"]]})
 
 
+def _alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys that are near-duplicates by their text."""
+    g = prints.select("key", "grams")
+    common = F.size(F.array_intersect("ga", "gb"))
+    dice = 2.0 * common / (F.size("ga") + F.size("gb"))
+    return pairs.join(g.toDF("a", "ga"), "a").join(g.toDF("b", "gb"), "b").where(dice >= SIMILARITY).select("a", "b")
+
+
 def _verified(pairs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of keys that are near-duplicates by their text; fingerprints sort out the rest first."""
     fp = prints.select("key", "fp")
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(fp.toDF("a", "fa"), "a").join(fp.toDF("b", "fb"), "b").where(apart <= MOST_BITS).select("a", "b")
     near = scratch.cut(near, "near")
-    g = prints.select("key", "grams")
-    common = F.size(F.array_intersect("ga", "gb"))
-    dice = 2.0 * common / (F.size("ga") + F.size("gb"))
-    out = scratch.cut(near.join(g.toDF("a", "ga"), "a").join(g.toDF("b", "gb"), "b").where(dice >= SIMILARITY).select("a", "b"), "links")
+    out = scratch.cut(_alike(near, prints), "links")
     scratch.drop(near)
     return out
 
 
+def _least(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray:
+    """The fewest trigrams that texts of n and m have in common if they are near-duplicates."""
+    return np.ceil(np.asarray(n + m) * (SIMILARITY / 2) - 1e-9).astype(np.int64)
+
+
+def _bucket(g: np.ndarray) -> np.ndarray:
+    return (_mix(g.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _bucket_counts(batches):
+    import pandas as pd
+
+    n = np.zeros(BUCKETS, dtype=np.int64)
+    for pdf in batches:
+        for g in pdf["grams"]:
+            np.add.at(n, _bucket(np.asarray(g)), 1)
+    at = np.flatnonzero(n)
+    yield pd.DataFrame({"bucket": at, "n": n[at]})
+
+
+def _prefixes(counts: np.ndarray):
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for start in range(0, len(pdf), 1000):
+                part = pdf.iloc[start : start + 1000]
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                maps, sizes = [], []
+                for grams_ in part["grams"]:
+                    g = np.asarray(grams_)
+                    n = len(g)
+                    g = g[np.lexsort((g, counts[_bucket(g)]))]
+                    least = int(np.ceil(n * (SIMILARITY / 2) / (1 - SIMILARITY / 2) - 1e-9))  # size of the smallest text that resembles this one
+                    long, short = n - int(_least(n, least)) + 1, n - int(_least(n, n)) + 1
+                    bits = np.bincount((g.view(np.uint64) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+                    maps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                    sizes.append(long)
+                    for to, v in zip(out, (g[:long], np.arange(long), np.arange(long) < short, np.full(long, n)), strict=True):
+                        to.append(v)
+                each = np.repeat(np.arange(len(part)), sizes)
+                m = np.array(maps)[each]
+                yield pd.DataFrame({"gram": np.concatenate(out[0]), "key": part["key"].to_numpy()[each], "c": part["c"].to_numpy()[each], "at": np.concatenate(out[1]), "n": np.concatenate(out[3]), "short": np.concatenate(out[2])} | {f"m{i}": m[:, i] for i in range(PARITY)})
+
+    return run
+
+
+def _sharing(pdf, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x of ``a`` and y of ``b``, all of one trigram, that may be near-duplicates: no bound here rules out one that is."""
+    key, c, at, n, m = pdf["key"], pdf["c"], pdf["at"], pdf["n"], pdf["m"]
+    xs, ys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
+    for s in range(0, len(a), step):
+        x = a[s : s + step, None]
+        both = n[x] + n[b]
+        # the first trigram that two texts share is this one or an earlier one: as many as are left on both sides can follow
+        ok = np.minimum(n[x] - at[x], n[b] - at[b]) >= both * (SIMILARITY / 2) - 1e-9
+        ok &= (c[x] != c[b]) & ((n[x] < n[b]) | ((n[x] == n[b]) & (key[x] < key[b])))
+        i, j = np.nonzero(ok)
+        x, y = a[s + i], b[j]
+        apart = np.bitwise_count((m[x] ^ m[y]).view(np.uint64)).sum(axis=1, dtype=np.int64)  # at most the trigrams that only one of them has
+        keep = apart <= (n[x] + n[y]) * (1 - SIMILARITY) + 1e-9
+        xs.append(x[keep])
+        ys.append(y[keep])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _meeting(batches):
+    """Rows come sorted by trigram. At each, rows of the largest class are never paired with each other."""
+    import pandas as pd
+
+    def pairs(pdf):
+        gram = pdf["gram"].to_numpy()
+        d = {k: pdf[k].to_numpy() for k in ("key", "c", "at", "n")} | {"m": pdf[[f"m{i}" for i in range(PARITY)]].to_numpy()}
+        short = pdf["short"].to_numpy()
+        cut = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        ends = np.append(cut[1:], len(gram))
+        for s, e in zip(cut[ends - cut > 1].tolist(), ends[ends - cut > 1].tolist(), strict=True):
+            rows = np.arange(s, e)
+            u, inv = np.unique(d["c"][s:e], return_inverse=True)
+            if len(u) == 1:
+                continue
+            top = inv == np.bincount(inv).argmax()
+            for x, y in ((rows[short[s:e] & ~top], rows), (rows[short[s:e] & top], rows[~top])):
+                i, j = _sharing(d, x, y)
+                if len(i):
+                    a, b = d["key"][i], d["key"][j]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def joined(parts):
+        done = list(parts)
+        if done:
+            yield pd.concat(done).drop_duplicates()
+
+    left: list = []
+    for pdf in batches:
+        last = pdf["gram"].iloc[-1] if len(pdf) else None
+        if last is None:
+            continue
+        if pdf["gram"].iloc[0] == last and (not left or left[0]["gram"].iloc[0] == last):
+            left.append(pdf)
+            continue
+        open_ = (pdf["gram"] == last).to_numpy()
+        yield from joined(pairs(pd.concat([*left, pdf[~open_]])))
+        left = [pdf[open_]]
+    if left:
+        yield from joined(pairs(pd.concat(left)))
+
+
+def missing_links(prints: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between near-duplicate keys that ``links`` leaves in different classes: all of them, by an exact prefix filter."""
+    comp = hash_to_min(links, scratch).toDF("key", "c")
+    texts = scratch.cut(prints.select("key", "grams").join(comp, "key", "left").select("key", F.coalesce("c", "key").alias("c"), "grams"), "classed")
+    n = texts.select("grams").mapInPandas(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[n["bucket"].to_numpy(dtype=np.int64)] = n["n"].to_numpy()
+    maps = ", ".join(f"m{i} long" for i in range(PARITY))
+    rows = texts.mapInPandas(_prefixes(counts), f"gram long, key long, c long, at int, n int, short boolean, {maps}")
+    met = rows.repartition(spark_partitions(prints), "gram").sortWithinPartitions("gram").mapInPandas(_meeting, "a long, b long").distinct()
+    met = scratch.cut(met, "shared")
+    out = scratch.cut(_alike(met, prints), "late-links")
+    scratch.drop(texts, met)
+    return out
+
+
 def _met(one: DataFrame, two: DataFrame) -> DataFrame:
     """Distinct pairs of keys that meet at an anchor."""
     p = one.select("anchor", F.col("key").alias("x")).join(two.select("anchor", F.col("key").alias("y")), "anchor").where("x <> y")
@@ -193,7 +335,9 @@ def near_links(prints: DataFrame, scratch: Scratch, pairs_at_anchor: int = PAIRS
         return x.join(y, "anchor").where("x <> y and cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     rest = pair(homes.where("c <> top"), visits).union(pair(homes, visits.where("c <> top"))).distinct()
-    return links.union(_verified(rest, prints, scratch))
+    links = links.union(_verified(rest, prints, scratch))
+    scratch.drop(load, live, here, lead)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str, text: Sequence[str], scratch: Scratch, pairs_at_anchor: int = PAIRS_AT_ANCHOR) -> tuple[DataFrame, DataFrame]:
@@ -221,7 +365,8 @@ def near_duplicates(df: DataFrame, id_col: str, text: Sequence[str], scratch: Sc
     texts = keyed.groupBy("key").agg(F.min("plain").alias("plain"))
     n = max(12, spark_partitions(df))
     prints = scratch.cut(texts.repartition(n).mapInPandas(_fingerprints, "key long, fp array<long>, home array<long>, near array<long>, grams array<long>"), "prints")
-    links = scratch.cut(near_links(prints, scratch, pairs_at_anchor).distinct(), "all-links")
+    links = scratch.cut(near_links(prints, scratch, pairs_at_anchor).distinct(), "anchor-links")
+    links = scratch.cut(links.union(missing_links(prints, links, scratch)).distinct(), "all-links")
     comp = hash_to_min(links, scratch).toDF("key", "c")
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
     own = members.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("first"))

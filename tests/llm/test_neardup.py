@@ -109,3 +109,19 @@ def test_very_long_and_very_short_texts(spark):
     t = text(r, 20000)
     classes, _ = run(spark, [("a", t, ""), ("b", t[:300] + "换" + t[301:], ""), ("c", "x", ""), ("d", "y", ""), ("e", "X", "!")])
     assert {(x.id, x["class"]) for x in classes.collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("e", "c")}
+
+
+def test_pairs_near_the_limit_are_all_found(spark):
+    r = random.Random(11)
+    rows, want = [], set()
+    while len(want) < 120:
+        t = text(r, 120)
+        x = list(t)
+        for i in r.sample(range(len(x)), r.randrange(12, 20)):
+            x[i] = r.choice(WORDS)
+        if 0.70 <= dice(t, "".join(x)) < 0.80:
+            k = len(want)
+            rows += [(f"a{k:03d}", t, ""), (f"b{k:03d}", "".join(x), "")]
+            want.add((f"a{k:03d}", f"b{k:03d}"))
+    classes, _ = run(spark, rows)
+    assert {tuple(x) for x in N.class_pairs(classes).collect()} == want
