@@ -26,6 +26,8 @@ ENDINGS = (8, 5, 3)
 START = 3
 #: An ending or start counts as known from this many sentences on.
 KNOWN = 3
+#: A start is one that sentences have if at least this share of its places, anywhere in the texts, begins a sentence that ends.
+BEGINS = 1 / 6
 
 # Phrases and marks that the labelling functions look for.
 CITATION = r"\s*(\[\d{1,3}\]|【\d{1,3}】)"
@@ -127,10 +129,11 @@ def _look_up(batches):
             cp = np.frombuffer(frag.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
             for k in ENDINGS:
                 if len(cp) >= k:
-                    rows.append((key, k, int(_hash(cp, np.array([len(cp) - k]), k).view(np.int64)[0])))
+                    rows.append((key, k, int(_hash(cp, np.array([len(cp) - k]), k).view(np.int64)[0]), False))
             if len(cp) >= START:
-                rows.append((key, 0, int(_hash(cp, np.array([0]), START).view(np.int64)[0])))
-        yield pd.DataFrame(rows, columns=["_key", "k", "h"])
+                h = int(_hash(cp, np.array([0]), START).view(np.int64)[0])
+                rows += [(key, 0, h, True), (key, START, h, True)]  # START is one of ENDINGS: counted wherever it stands
+        yield pd.DataFrame(rows, columns=["_key", "k", "h", "first"])
 
 
 def last_piece(norm: Column) -> Column:
@@ -141,18 +144,23 @@ def last_piece(norm: Column) -> Column:
 
 
 def sentence_ends(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """For unterminated answers: chance that their last piece is a whole sentence, and how many sentences start as it does.
+    """For unterminated answers: chance that their last piece is a whole sentence, and whether sentences start as it does.
 
     ``rows`` has _key, _norm (all texts, for the statistics) and _open. The
-    longest ending that is known decides. Result: _key, whole (null if none is known), starts.
+    longest ending that is known decides. Sentences start as a piece does if KNOWN of them do and
+    they are the share BEGINS of all places of that start: a name that
+    stands within sentences stays a name however often the table lets it begin one by chance.
+    Result: _key, whole (null if none is known), begins.
     """
     ship(rows.sparkSession)
     stats = rows.select("_norm").mapInPandas(_count_batches, "k int, h long, n long, e long").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     open_ = rows.where("_open").select("_key", last_piece(F.col("_norm")).alias("_frag"))
-    asked = open_.mapInPandas(_look_up, "_key long, k int, h long")
+    asked = open_.mapInPandas(_look_up, "_key long, k int, h long, first boolean")
     found = asked.join(stats, ["k", "h"], "left")
-    known = F.when((F.col("k") > 0) & (F.col("n") >= KNOWN), F.struct("k", (F.col("e") / F.col("n")).alias("p")))
-    return scratch.cut(found.groupBy("_key").agg(F.max(known)["p"].alias("whole"), F.coalesce(F.max(F.when(F.col("k") == 0, F.col("n"))), F.lit(0).cast("long")).alias("starts")), "ends")
+    known = F.when(~F.col("first") & (F.col("n") >= KNOWN), F.struct("k", (F.col("e") / F.col("n")).alias("p")))
+    starts, places = F.max(F.when(F.col("k") == 0, F.col("n"))), F.max(F.when(F.col("first") & (F.col("k") > 0), F.col("n")))
+    begins = (starts >= KNOWN) & (starts >= BEGINS * F.coalesce(places, F.lit(0)))
+    return scratch.cut(found.groupBy("_key").agg(F.max(known)["p"].alias("whole"), F.coalesce(begins, F.lit(False)).alias("begins")), "ends")
 
 
 def language(c: Column) -> Column:
@@ -176,7 +184,7 @@ def _vote(plus: Column, minus: Column) -> Column:
 
 
 def labelling_functions(question: Column, answer: Column) -> dict[str, dict[str, Column]]:
-    """The votes for each defect; those of ``truncated`` use the columns whole and starts of ``sentence_ends``."""
+    """The votes for each defect; those of ``truncated`` use the columns whole and begins of ``sentence_ends``."""
     q, raw = F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit(""))
     a = F.regexp_replace(F.regexp_replace(raw, CITATION, ""), r"[\p{Cf}]+", "")
     a = F.regexp_replace(a, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
@@ -202,7 +210,7 @@ def labelling_functions(question: Column, answer: Column) -> dict[str, dict[str,
     han_share = F.try_divide(F.regexp_count(a, F.lit(r"[\x{4e00}-\x{9fff}]")).cast("double"), F.length(F.regexp_replace(a, r"[^\p{L}]", "")))
     foreign = F.regexp_count(a, F.lit(r"[\x{ac00}-\x{d7a3}\x{3041}-\x{30ff}\x{0400}-\x{04ff}à-ÿ]"))
     terminal, dangling = a.rlike(TERMINAL), F.regexp_replace(a, r"[*`_\s]+$", "").rlike(DANGLING)
-    whole, starts = F.col("whole"), F.col("starts")
+    whole, known = F.col("whole"), F.col("begins")
     # a single piece that begins as no sentence does is a bare value, such as a name, a number or a date
     single = ~F.regexp_replace(a, r"[\s*`_]+$", "").rlike(r"[。！？!?\n]|\.\s")
     unfinished = has & ~terminal
@@ -232,8 +240,8 @@ def labelling_functions(question: Column, answer: Column) -> dict[str, dict[str,
         "truncated": {
             "dangling": _vote(has & dangling, F.lit(False)),
             "terminal": _vote(has & ~terminal, terminal | ~has),
-            "ending": _vote(unfinished & (whole < 0.4) & ((starts >= KNOWN) | ~single), ~terminal & (whole >= 0.4)),
-            "start": _vote(unfinished & ((starts >= KNOWN) | ~single) & ~(F.coalesce(whole, F.lit(0.0)) >= 0.4) & ~value, ~terminal & ((single & (starts < KNOWN)) | value) & ~dangling),
+            "ending": _vote(unfinished & (whole < 0.4) & (known | ~single), ~terminal & (whole >= 0.4)),
+            "start": _vote(unfinished & (known | ~single) & ~(F.coalesce(whole, F.lit(0.0)) >= 0.4) & ~value, ~terminal & ((single & ~known) | value) & ~dangling),
         },
     }
 
@@ -304,7 +312,7 @@ def label_pairs(df: DataFrame, id_col: str, question: str, answer: str, scratch:
     trimmed = F.regexp_replace(F.regexp_replace(F.col("r.a"), r"\p{Cf}+", ""), r"[\s\p{Z}*`_]+$", "")
     rows = scratch.cut(one.select(F.xxhash64("id").alias("_key"), "id", F.col("r.q").alias("q"), F.col("r.a").alias("a"), normal(trimmed).alias("_norm"), (~F.regexp_replace(trimmed, CITATION, "").rlike(TERMINAL)).alias("_open")), "pairs")
     ends = sentence_ends(rows, scratch)
-    full = rows.join(ends, "_key", "left").withColumn("starts", F.coalesce("starts", F.lit(0).cast("long")))
+    full = rows.join(ends, "_key", "left").withColumn("begins", F.coalesce("begins", F.lit(False)))
     votes = labelling_functions(F.col("q"), F.col("a"))
     voted = scratch.cut(full.select("id", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) == 0).alias("held"), *[F.array(*v.values()).alias(d) for d, v in votes.items()]), "votes")
     long = voted.select("id", "held", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("v")) for d in votes])).alias("x")).select("id", "held", "x.d", "x.v")

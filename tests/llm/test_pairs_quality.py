@@ -128,3 +128,23 @@ def test_batches_do_not_change_results(monkeypatch):
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_empty_describe(n):
     assert len(Q.describe([""] * n)) == n
+
+
+def votes_of_fixed_pairs(spark, times):
+    from pyspark.sql import functions as F
+
+    rows = []
+    for i in range(100 * times):
+        name = "Quakor 已经升级到新版本。" if i % 100 == 0 else f"第 {i} 台由 Quakor 负责维修。"
+        rows.append((i, name + f"从文档看，保修共 {i} 个月。", name + f"从文档看，保修共 {i} 个月。", False))
+    rows += [(-1, "Quakor", "Quakor", True), (-2, "从文档看，地址只能在出", "从文档看，地址只能在出", True)]
+    df = spark.createDataFrame(rows, "_key long, a string, _norm string, _open boolean")
+    ends = A.sentence_ends(df, Scratch(spark, "t"))
+    votes = A.labelling_functions(F.lit("由哪个品牌负责维修？"), F.col("a"))["truncated"]
+    return {r["_key"]: tuple(r[1:]) for r in df.where("_open").join(ends, "_key").select("_key", *[c.alias(n) for n, c in votes.items()]).collect()}
+
+
+def test_votes_do_not_change_with_the_size_of_the_table(spark):
+    small, large = votes_of_fixed_pairs(spark, 1), votes_of_fixed_pairs(spark, 10)
+    assert small == large
+    assert large[-1][3] == -1 and large[-2][3] == 1
