@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import hamming, han_ratio, leak_ratio, question_norm, simhash
+from tarn.storage import Scratch
 
 #: Bounds of a question's checks (fixed values).
 LENGTH = (8, 200)
@@ -30,25 +31,59 @@ def near_fingerprints(df: DataFrame, key: str, fp: str, bits: int = NEAR_BITS) -
     return near.unionByName(same)
 
 
+def accepted_in_order(first: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
+    """Greedy pass in order of ids: (fp, id) of the fingerprints that no accepted earlier one is near.
+
+    ``first`` has one row (fp, id) for each fingerprint, ``near`` the pairs (a, b) of fingerprints in both directions.
+    In each round, rows without an undecided earlier neighbour are accepted and their
+    neighbours rejected: the result is that of a loop over the rows, in as many rounds as the longest chain needs.
+    """
+    x, y = first.select(F.col("fp").alias("a"), F.col("id").alias("ia")), first.select(F.col("fp").alias("b"), F.col("id").alias("ib"))
+    edges = scratch.cut(near.join(x, "a").join(y, "b").where("ia < ib").select("a", "b"), "edges")
+    out = first.join(edges.select(F.col("b").alias("fp")), "fp", "left_anti")
+    new = out.select("fp")
+    while not edges.isEmpty():
+        # neighbours of the accepted fall, with all edges from and to them
+        fallen = scratch.cut(edges.join(new.select(F.col("fp").alias("a")), "a", "left_semi").select(F.col("b").alias("fp")).distinct(), "fallen")
+        gone = fallen.unionByName(new.select("fp"))
+        rest = scratch.cut(edges.join(gone.toDF("a"), "a", "left_anti").join(fallen.toDF("b"), "b", "left_anti"), "edges")
+        # all undecided rows have an edge to an earlier one; those that have none left are accepted
+        waiting = edges.select(F.col("b").alias("fp")).distinct().join(fallen, "fp", "left_anti")
+        new = scratch.cut(waiting.join(rest.select(F.col("b").alias("fp")), "fp", "left_anti"), "accepted")
+        out = scratch.cut(out.unionByName(first.join(new, "fp", "left_semi")), "all-accepted")
+        edges = rest
+    return out
+
+
 def question_checks(items: DataFrame, passage: Column | None = None) -> DataFrame:
     """(id, reason): the first check that a question fails, null if none; first come, first kept among repeats.
 
-    In order: empty, length, share of Han characters and repeats of its exact plain form
-    by an earlier id, near repeats by fingerprint of an earlier id, and share of its 5-grams in the passage.
+    In order: empty, length, share of Han characters and repeats of the exact plain form
+    of an accepted earlier id, near repeats by fingerprint of an accepted earlier id, and share of its 5-grams in the passage.
+    Only questions that pass all checks are accepted: what is near a rejected one may stay.
     Out-of-scope items need no Han characters and have no passage.
     """
+    scratch = Scratch(items.sparkSession, "checks")
     q = F.trim(F.coalesce("question", F.lit("")))
     inside = F.coalesce(F.col("type"), F.lit("")) != "out_of_scope"
     r = items.select("id", "type", q.alias("q"), question_norm(q).alias("norm"), (passage if passage is not None else F.lit("")).alias("p"))
     basic = F.when(F.col("q") == "", "empty").when((F.length("q") < LENGTH[0]) | (F.length("q") > LENGTH[1]), "length").when(inside & (han_ratio(F.col("q")) < HAN_LEAST), "han_ratio")
-    r = r.withColumn("_basic", basic)
+    leak = F.coalesce(inside & (leak_ratio(F.col("q"), F.col("p")) > LEAK_MOST), F.lit(False))
+    r = scratch.cut(r.select("id", "norm", basic.alias("_basic"), F.when(basic.isNull(), leak).alias("_leak")), "basic")
     good = r.where("_basic is null")
-    first = good.groupBy("norm").agg(F.min("id").alias("_first"))
-    good = good.join(first, "norm").withColumn("_exact", F.col("id") != F.col("_first"))
-    prints = simhash(good.where("not _exact"), "id", "norm")
-    near = near_fingerprints(prints, "id", "fingerprint").select(F.col("b").alias("id")).distinct().withColumn("_near", F.lit(True))
-    g = good.join(near, "id", "left")
-    late = F.when(F.col("_exact"), "duplicate_exact").when(F.coalesce("_near", F.lit(False)), "duplicate_near").when(inside & (leak_ratio(F.col("q"), F.col("p")) > LEAK_MOST), "leak")
+    prints = simhash(good.groupBy("norm").agg(F.min("id").alias("_k")), "norm", "norm").withColumnRenamed("fingerprint", "fp")
+    good = scratch.cut(good.join(prints, "norm").select("id", "norm", "fp", "_leak"), "prints")
+    # rows of one fingerprint fall with the first of them that does not leak, or behind it
+    one = good.select("fp").distinct()
+    near = near_fingerprints(one.withColumn("k", F.col("fp")), "k", "fp")
+    near = scratch.cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near")
+    first = scratch.cut(good.where("not _leak").groupBy("fp").agg(F.min("id").alias("id")), "first")
+    kept = accepted_in_order(first, near, scratch)
+    exact = good.join(kept.select("id"), "id", "left_semi").select("norm", F.col("id").alias("_same"))
+    reach = kept.select("fp", "id").unionByName(near.join(kept.select(F.col("fp").alias("a"), "id"), "a").select(F.col("b").alias("fp"), "id"))
+    least = reach.groupBy("fp").agg(F.min("id").alias("_near"))
+    g = good.join(exact, "norm", "left").join(least, "fp", "left")
+    late = F.when(F.col("_same") < F.col("id"), "duplicate_exact").when(F.col("_near") < F.col("id"), "duplicate_near").when(F.col("_leak"), "leak")
     return r.where("_basic is not null").select("id", F.col("_basic").alias("reason")).unionByName(g.select("id", late.alias("reason")))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tarn.functions import stats as S
 from tarn.operators import curation as Q
 from tarn.operators import evaluation as E
+from tarn.storage import Scratch
 
 
 def test_wilson(spark):
@@ -99,3 +100,22 @@ def test_round_robin_is_balanced(spark):
     df = spark.createDataFrame([(i, "a" if i < 7 else "b") for i in range(12)], "id int, t string")
     n = [r["count"] for r in Q.round_robin(df, 3, "t", "id").groupBy("bucket").count().collect()]
     assert sorted(n) == [4, 4, 4]
+
+
+def test_near_questions_are_compared_with_accepted_ones_only(spark):
+    rows = [(i, f) for i, f in enumerate([0b0, 0b111, 0b111111, 0b1111 << 40, 0b111111111])]
+    df = spark.createDataFrame(rows, "id int, fp long")
+    near = Q.near_fingerprints(df.select(F.col("fp").alias("k"), "fp"), "k", "fp")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    got = {r.id for r in Q.accepted_in_order(df, near, Scratch(spark, "t")).collect()}
+    kept = []  # the loop of the definition
+    for i, f in rows:
+        if all((f ^ g).bit_count() > 3 for _, g in kept):
+            kept.append((i, f))
+    assert got == {i for i, _ in kept} == {0, 2, 3}
+
+
+def test_repeats_of_a_rejected_question_stay(spark):
+    q = "请问这款净水器的滤芯应该多久更换一次呢"
+    df = spark.createDataFrame([("a", "factual", q, q), ("b", "factual", q, "无关的资料"), ("c", "factual", q, "无关的资料")], "id string, type string, question string, p string")
+    assert {r.id: r.reason for r in Q.question_checks(df, F.col("p")).collect()} == {"a": "leak", "b": None, "c": "duplicate_exact"}
