@@ -616,6 +616,13 @@ def qc_badcases(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("reason", F.when(F.col("reason").isNull() & (r > 100), "quota_full").otherwise(F.col("reason"))).select("id", F.coalesce("reason", F.lit("accepted")).alias("outcome"))
 
 
+@query
+def qc_badcase_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """All gates of new cases, against the holdout items as the known set; those come out as regression rows. No cap of a type."""
+    i = _items(spark, sf).where("split is not null")
+    return Q.badcase_gates(i, i.where(F.lower("split") == "holdout"), F.col("ground_truth"))
+
+
 @query
 def sm_every_kth(spark: SparkSession, sf: str) -> DataFrame:
     return E.every_kth(_pairs(spark, sf).select("case_id"), 7, ["case_id"])

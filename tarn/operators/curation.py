@@ -87,6 +87,47 @@ def question_checks(items: DataFrame, passage: Column | None = None) -> DataFram
     return r.where("_basic is not null").select("id", F.col("_basic").alias("reason")).unionByName(g.select("id", late.alias("reason")))
 
 
+def badcase_gates(rows: DataFrame, known: DataFrame, passage: Column, most: int | None = None) -> DataFrame:
+    """(id, outcome) of failed cases that are to become items of a set.
+
+    ``known`` (id, question) is the set. A row whose id it has is no new case: its outcome is ``regression``, and it is left out if its
+    ``attribution`` (where ``rows`` has that column) says 无问题. Others get the first gate that holds against them: missing question, truth or claims, documents;
+    exact repeat of a known question; near repeat by fingerprint; share of 5-grams in ``passage``; and, only
+    with ``most``, more than so many accepted of a type in order of ids. Else they are ``accepted``.
+    """
+    ids = known.select("id").distinct().withColumn("_known", F.lit(True))
+    j = rows.withColumn("_p", passage).join(ids, "id", "left")
+    old = j.where("_known")
+    if "attribution" in rows.columns:
+        old = old.where("coalesce(attribution, '') <> '无问题'")
+    new = j.where("_known is null").withColumn("_q", F.coalesce("question", F.lit("")))
+    has = known.where("question <> ''").select(F.col("question").alias("_q")).distinct()
+    norms = known.select(question_norm(F.coalesce("question", F.lit(""))).alias("_norm")).distinct().withColumn("_exact", F.lit(True))
+    prints = simhash(has.select("_q").unionByName(new.select("_q")).distinct(), "_q", "_q")
+    one = prints.select("fingerprint").distinct()
+    near = near_fingerprints(one.withColumn("k", F.col("fingerprint")), "k", "fingerprint")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    there = prints.join(has, "_q", "left_semi").select("fingerprint").distinct()
+    reach = there.unionByName(near.join(there.toDF("a"), "a", "left_semi").select(F.col("b").alias("fingerprint"))).distinct()
+    close = prints.join(reach, "fingerprint", "left_semi").select("_q", F.lit(True).alias("_near"))
+    refuse = F.coalesce(F.col("expected_behavior") == "refuse", F.lit(False))
+    few = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    reason = (
+        F.when(F.trim("_q") == "", "missing_question")
+        .when(~refuse & ((F.coalesce("ground_truth", F.lit("")) == "") | few("key_claims")), "missing_truth_or_claims")
+        .when(~refuse & few("supporting_docs"), "missing_documents")
+        .when(F.col("_exact"), "duplicate_exact")
+        .when(F.col("_near"), "duplicate_near")
+        .when(leak_ratio(F.col("_q"), F.col("_p")) > LEAK_MOST, "leakage")
+        .otherwise("accepted")
+    )
+    got = new.withColumn("_norm", question_norm(F.col("_q"))).join(norms, "_norm", "left").join(close, "_q", "left").select("id", "type", reason.alias("outcome"))
+    if most is not None:
+        r = F.row_number().over(Window.partitionBy("type", "outcome").orderBy("id"))
+        got = got.withColumn("outcome", F.when((F.col("outcome") == "accepted") & F.col("type").isNotNull() & (r > most), "quota_full").otherwise(F.col("outcome")))
+    return got.select("id", "outcome").unionByName(old.select("id", F.lit("regression").alias("outcome")))
+
+
 def dataset_problems(items: DataFrame, suite: str | None = None, types: tuple[str, ...] = ("factual", "multi_hop", "colloquial", "out_of_scope", "adversarial")) -> DataFrame:
     """One row (id, problem) for each rule that an item breaks."""
     quality = F.col("suite") == "quality"

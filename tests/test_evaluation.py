@@ -119,3 +119,13 @@ def test_repeats_of_a_rejected_question_stay(spark):
     q = "请问这款净水器的滤芯应该多久更换一次呢"
     df = spark.createDataFrame([("a", "factual", q, q), ("b", "factual", q, "无关的资料"), ("c", "factual", q, "无关的资料")], "id string, type string, question string, p string")
     assert {r.id: r.reason for r in Q.question_checks(df, F.col("p")).collect()} == {"a": "leak", "b": None, "c": "duplicate_exact"}
+
+
+def test_badcase_gates(spark):
+    q = "".join(chr(0x4E00 + i * 7) for i in range(400))
+    new = [("k", q, "x"), ("n0", q + "？", "x"), ("n1", q + "呀", "x"), ("n2", "保修期从哪一天开始计算才对呢", "保修期从哪一天开始计算才对呢"), ("n3", "运费由谁来承担", "x"), ("n4", "发票抬头可以修改吗", "x"), ("n5", None, "x"), ("z", "已知但没有问题", "x")]
+    df = spark.createDataFrame([(i, "factual", t, "x", ["c"], ["d"], "answer", p, "无问题" if i == "z" else None) for i, t, p in new], "id string, type string, question string, ground_truth string, key_claims array<string>, supporting_docs array<string>, expected_behavior string, p string, attribution string")
+    known = spark.createDataFrame([("k", q), ("z", "另一个已知的题目")], "id string, question string")
+    want = {"k": "regression", "n0": "duplicate_exact", "n1": "duplicate_near", "n2": "leakage", "n3": "accepted", "n4": "accepted", "n5": "missing_question"}
+    assert {r.id: r.outcome for r in Q.badcase_gates(df, known, F.col("p")).collect()} == want
+    assert {r.id: r.outcome for r in Q.badcase_gates(df, known, F.col("p"), 1).collect()} == want | {"n4": "quota_full"}
