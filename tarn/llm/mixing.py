@@ -53,6 +53,56 @@ def fit_exponent(share: list[float], target_entropy: float | None = None, room:
     return max(a)
 
 
+def temper(share: list[float], target_entropy: float, room: list[float]) -> tuple[float, str]:
+    """The exponent, from 0 to 64, whose mix comes nearest to the entropy within the room, and what it meets: both, repeats or entropy.
+
+    Where no exponent fits the room, it is that of the entropy. Fits are sought in steps of 1/16 and then bisected.
+    """
+    if not share or max(share) <= 0:
+        return 1.0, "none"
+    off = lambda x: abs(entropy(tempered(share, x)) - target_entropy)
+    fits = lambda x: all(w <= r + 1e-12 for w, r in zip(tempered(share, x), room, strict=True))
+    lo, hi = 0.0, 1.0
+    while hi < 64 and entropy(tempered(share, hi)) > target_entropy:
+        hi *= 2
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if entropy(tempered(share, mid)) <= target_entropy else (mid, hi)
+    at, reached = hi, off(hi) < 1e-6
+    if fits(at):
+        return at, "both" if reached else "repeats"
+    found = []
+    for sign in (-1, 1):
+        step = 1
+        while 0 <= at + sign * (step - 1) / 16 <= 64:
+            x = min(64.0, max(0.0, at + sign * step / 16))
+            if fits(x):
+                bad = at + sign * (step - 1) / 16
+                for _ in range(60):
+                    mid = (bad + x) / 2
+                    bad, x = (bad, mid) if fits(mid) else (mid, x)
+                found.append(x)
+                break
+            step += 1
+    return (min(found, key=off), "repeats") if found else (at, "entropy" if reached else "none")
+
+
+def dealt(weight: list[float], total: float, room: list[float]) -> list[float]:
+    """Budgets within the room; what a source cannot hold goes to those with room left, by weight, until all is dealt or all are full."""
+    out = [0.0] * len(weight)
+    left = total
+    while left > 1e-9 * max(1.0, total):
+        free = [i for i, w in enumerate(weight) if w > 0 and room[i] - out[i] > 1e-9]
+        if not free:
+            break
+        part = sum(weight[i] for i in free)
+        give = {i: min(left * weight[i] / part, room[i] - out[i]) for i in free}
+        for i, x in give.items():
+            out[i] += x
+        left -= sum(give.values())
+    return out
+
+
 def plan_mixes(sizes: DataFrame, targets: DataFrame, mode: str = "given") -> DataFrame:
     """Budget of tokens of each source of each mix.
 
@@ -68,8 +118,9 @@ def plan_mixes(sizes: DataFrame, targets: DataFrame, mode: str = "given") -> Dat
 
     ``temperature``: the weights are the sources' own token shares to a
     power: the exponent is bisected until the entropy is that of the given
-    weights, or as near as the repetition limit lets it come; the budget is that
-    weight * total_tokens, cut at the room.
+    weights, or as near as the repetition limit lets it come (``temper``); the budget is that
+    weight * total_tokens, and what exceeds a source's room is dealt to sources with room.
+    A last column ``met`` tells what the exponent meets: both, repeats, entropy or none.
 
     Null weights are 0, a null max_repeats is 1; a source without documents has
     size 0. Result: mix_id, source, weight (wanted), total_tokens, max_repeats,
@@ -78,7 +129,7 @@ def plan_mixes(sizes: DataFrame, targets: DataFrame, mode: str = "given") -> Dat
     """
     t = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("long").alias("max_repeats"), F.max(F.coalesce("total_tokens", F.lit(0))).cast("long").alias("total_tokens"))
     both = t.join(sizes.groupBy("source").agg(F.sum("tokens").cast("long").alias("tokens")), "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long")))
-    schema = "mix_id string, source string, weight double, total_tokens long, max_repeats long, tokens long, room double, budget double, exponent double"
+    schema = "mix_id string, source string, weight double, total_tokens long, max_repeats long, tokens long, room double, budget double, exponent double" + (", met string" if mode == "temperature" else "")
 
     def plan(pdf):
         pdf = pdf.sort_values("source").reset_index(drop=True)
@@ -89,7 +140,7 @@ def plan_mixes(sizes: DataFrame, targets: DataFrame, mode: str = "given") -> Dat
         if mode == "temperature":
             own = pdf.tokens.astype(float).tolist()
             given = [w / sum(weight) for w in weight] if sum(weight) > 0 else [0.0 for _ in weight]
-            a = fit_exponent(own, entropy(given), room)
+            a, pdf["met"] = temper(own, entropy(given), room)
             weight = tempered(own, a) if sum(own) else given
             pdf["weight"] = weight
             pdf["exponent"] = a
@@ -107,8 +158,11 @@ def plan_mixes(sizes: DataFrame, targets: DataFrame, mode: str = "given") -> Dat
                     a = lo
             pdf["exponent"] = a
             pdf["exponent"] = pdf["exponent"].astype("float64")
-        pdf["budget"] = [min(w * n, r) for w, n, r in zip(weight, total, pdf.room, strict=True)]
-        return pdf[["mix_id", "source", "weight", "total_tokens", "max_repeats", "tokens", "room", "budget", "exponent"]]
+        if mode == "temperature":
+            pdf["budget"] = dealt(weight, float(total.max()), pdf.room.tolist())
+        else:
+            pdf["budget"] = [min(w * n, r) for w, n, r in zip(weight, total, pdf.room, strict=True)]
+        return pdf[["mix_id", "source", "weight", "total_tokens", "max_repeats", "tokens", "room", "budget", "exponent", *(["met"] if mode == "temperature" else [])]]
 
     planned = both.groupBy("mix_id").applyInPandas(plan, schema)
     return planned.withColumn("short", F.greatest(F.lit(0.0), F.col("weight") * F.col("total_tokens") - F.col("room")))

@@ -135,3 +135,11 @@ def test_temperature_meets_the_entropy(spark):
     w = [x.weight for x in plan.collect()]
     assert M.entropy(w) == pytest.approx(M.entropy([0.4, 0.35, 0.25]), abs=1e-4) and sum(w) == pytest.approx(1.0)
     assert got.count() > 0 and mixes(spark, [], [("m", "a", 1.0, 1, 10)])[1].count() == 0
+
+
+def test_temperature_beyond_one_and_without_a_fit(spark):
+    docs = [(i, "a" if i < 60 else "b", 10) for i in range(100)]
+    plan, _ = mixes(spark, docs, [("m", "a", 0.9, 9, 1000), ("m", "b", 0.1, 9, 1000), ("n", "a", 0.55, 1, 1500), ("n", "b", 0.45, 3, 1500)], "temperature")
+    got = {(x.mix_id, x.source): x for x in plan.collect()}
+    assert got["m", "a"].exponent > 1 and got["m", "a"].weight == pytest.approx(0.9, abs=1e-4) and got["m", "a"].met == "both"
+    assert got["n", "a"].budget == pytest.approx(600) and got["n", "b"].budget == pytest.approx(900)
