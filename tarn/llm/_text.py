@@ -46,11 +46,12 @@ def classes() -> np.ndarray:
     return out
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about CHARS_AT_ONCE characters each; a longer text is a range of its own."""
+def chunks(texts: list[str], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` (CHARS_AT_ONCE) characters each; a longer text is a range of its own."""
     start, n = 0, 0
+    most = most or CHARS_AT_ONCE
     for i, t in enumerate(texts):
-        if n and n + len(t) > CHARS_AT_ONCE:
+        if n and n + len(t) > most:
             yield start, i
             start, n = i, 0
         n += len(t)

@@ -141,12 +141,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 # --- 2: near-duplicates ---------------------------------------------------------------------
 
 
-def _near(spark: SparkSession, sf: str):
+def _near(spark: SparkSession, sf: str, exact: bool = False):
     from tarn.llm.neardup import near_duplicates
 
     b = _read(spark, sf, "business_v1").select("id", "question", "ground_truth", "loaded_at")
     b = I.once(b, "id", "question", "ground_truth", latest="loaded_at")
-    return near_duplicates(b, "id", ["question", "ground_truth"], Scratch(spark, "p2"))
+    return near_duplicates(b, "id", ["question", "ground_truth"], Scratch(spark, "p2"), exact)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +156,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return _near(spark, sf)[0]
+    """Classes with every link, those that the anchors leave to the prefix filter too."""
+    return _near(spark, sf, exact=True)[0]
 
 
 # --- 6: windows -----------------------------------------------------------------------------

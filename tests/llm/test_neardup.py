@@ -14,19 +14,20 @@ def dice(a, b):
 
 
 def test_the_code_is_perfect():
-    single, home, near = N._code()
+    _, home, near = N._code()
     assert len(set(home.tolist())) == 2048 and max(int(e).bit_count() for e in home) == 3
-    assert sum(len(x) for x in near) == 1 + 23 + 253 + 1771 + 8855
+    assert (near >= 0).sum() == 1 + 23 + 253 + 1771 + 8855
     r = np.random.default_rng(0)
-    for w in r.integers(0, 1 << 23, (50, 2 * N.TABLES)):
-        h, n = N.anchors(w.astype(np.int64))
-        assert set(h.tolist()) <= set(n.tolist())
-        # every word within one bit of each block meets at the home anchor
-        for t in range(N.TABLES):
-            v = w.copy()
-            v[2 * t] ^= 1 << int(r.integers(23))
-            v[2 * t + 1] ^= 1 << int(r.integers(23))
-            assert h[t] in set(N.anchors(v.astype(np.int64))[1].tolist())
+    w = r.integers(0, 1 << 23, 500)
+    home, to = N.anchors(w)
+    assert (to == home[:, None]).any(axis=1).all()
+    assert np.bitwise_count(home ^ w).max() <= N.RADIUS
+    # every block within one bit meets at the home anchor
+    v = w ^ (1 << r.integers(0, 23, 500))
+    assert (N.anchors(v)[1] == home[:, None]).any(axis=1).all()
+    # no block within radius plus threshold of an anchor is left out
+    words = np.unique(N.anchors(np.arange(0, 1 << 23, 997))[0])
+    assert all(set(words[np.bitwise_count(words ^ x) <= N.RADIUS + N.THRESHOLD].tolist()) <= set(t[t >= 0].tolist()) for x, t in zip(w[:20], to[:20], strict=True))
 
 
 WORDS = "退款已原路退回礼品卡预计完成派送维修点设在前置仓检测费由责任方承担运单号显示同样处理过一次安装预约改到说明书可在页面下载"
@@ -90,17 +91,19 @@ def test_copies_nulls_and_empty_texts(spark):
     assert run(spark, [])[0].count() == 0
 
 
-@pytest.mark.parametrize("at_anchor", [4, 20_000])
-def test_hot_class_is_whole_without_all_its_pairs(spark, at_anchor):
+@pytest.mark.parametrize("rows_at_once", [4, 20_000])
+def test_hot_class_is_whole_without_all_its_pairs(spark, rows_at_once):
     r = random.Random(8)
     base = text(r, 200)
     rows = [(f"h{i:04d}", base, f"单号 {i:05d}") for i in range(150)] + [(f"x{i:04d}", text(r), "") for i in range(150)]
     t = text(r)
     rows += [("y1", t, "甲"), ("y2", t, "乙")]
-    classes, _ = run(spark, rows, pairs_at_anchor=at_anchor)
+    classes, _ = run(spark, rows, group_rows=rows_at_once)
     got = {}
     for x in classes.collect():
         got.setdefault(x["class"], set()).add(x.id)
+    # links are those of the representative, however the class was found
+    assert sorted(x.links for x in classes.collect() if x["class"] == "h0000") == [1] * 149 + [149]
     assert got == {"h0000": {f"h{i:04d}" for i in range(150)}, "y1": {"y1", "y2"}}
 
 
@@ -123,5 +126,49 @@ def test_pairs_near_the_limit_are_all_found(spark):
             k = len(want)
             rows += [(f"a{k:03d}", t, ""), (f"b{k:03d}", "".join(x), "")]
             want.add((f"a{k:03d}", f"b{k:03d}"))
-    classes, _ = run(spark, rows)
+    classes, _ = run(spark, rows, exact=True)
     assert {tuple(x) for x in N.class_pairs(classes).collect()} == want
+
+
+LETTERS = [chr(0x4E00 + i) for i in range(1500)]
+OFTEN = [1 / (i + 5) for i in range(1500)]
+
+
+def changed(r, t, kind, f):
+    x, n = list(t), len(t)
+    if kind == "replaced":
+        for i in r.sample(range(n), max(1, int(f * n))):
+            x[i] = r.choices(LETTERS, OFTEN)[0]
+    elif kind == "inserted":
+        for _ in range(max(1, int(f * n))):
+            x.insert(r.randrange(len(x)), r.choices(LETTERS, OFTEN)[0])
+    elif kind == "moved":
+        for _ in range(max(1, int(f * n / 3))):
+            i, k = r.randrange(n), r.randrange(1, n // 4)
+            part = x[i : i + k]
+            del x[i : i + k]
+            j = r.randrange(len(x) + 1)
+            x[j:j] = part
+    else:  # one run of the text rewritten
+        k = max(1, int(2.5 * f * n))
+        i = r.randrange(max(1, n - k))
+        x[i : i + k] = r.choices(LETTERS, OFTEN, k=k)
+    return "".join(x)
+
+
+def test_anchors_alone_find_pairs_of_every_similarity(spark):
+    r = random.Random(5)
+    bands = {b: [] for b in (0.70, 0.75, 0.80, 0.85, 0.90)}
+    while min(map(len, bands.values())) < 200:
+        t = "".join(r.choices(LETTERS, OFTEN, k=r.choice([30, 60, 120, 300, 600])))
+        u = changed(r, t, r.choice(["replaced", "inserted", "moved", "rewritten"]), r.uniform(0.02, 0.2))
+        d = dice(t, u)
+        b = next((b for b in sorted(bands, reverse=True) if b <= d), None)
+        if b and len(bands[b]) < 200 and t != u:
+            bands[b].append((t, u))
+    rows = [(f"{side}{b:.2f}-{k:03d}", t, "") for b, pairs in bands.items() for k, both in enumerate(pairs) for side, t in zip("ab", both, strict=True)]
+    classes, _ = run(spark, rows)
+    found = {tuple(x) for x in N.class_pairs(classes).collect()}
+    assert all(a[1:] == b[1:] for a, b in found)
+    for b, least in zip(bands, (0.95, 0.97, 0.99, 0.99, 1.0), strict=True):
+        assert sum((f"a{b:.2f}-{k:03d}", f"b{b:.2f}-{k:03d}") in found for k in range(200)) >= 200 * least, b
