@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 
 def fill(template: str, fields: dict[str, str]) -> str:
-    """A template with ``{name}`` replaced once: what a field brings in is never filled again. A missing field is an error."""
+    """A template with ``{name}`` (lower case) replaced once: what a field brings in is never filled again. A missing field is an error; other braces stay."""
 
     def value(m: re.Match) -> str:
         if m.group(1) not in fields:
             raise KeyError(f"template field {m.group(1)} is missing")
         return str(fields[m.group(1)])
 
-    return re.sub(r"\{([A-Za-z_][A-Za-z0-9_]*)\}", value, template)
+    return re.sub(r"\{([a-z_][a-z0-9_]*)\}", value, template)
 
 
 def filled(template: str, *names: str) -> Column:
@@ -33,32 +33,17 @@ def filled(template: str, *names: str) -> Column:
 
 
 def balanced(text: str) -> str | None:
-    """The first balanced object that has a verdict; braces within strings do not count."""
-    for start in (m.start() for m in re.finditer(r"\{", text)):
-        depth, quoted, escaped = 0, False, False
-        for i in range(start, len(text)):
-            c = text[i]
-            if quoted:
-                if escaped:
-                    escaped = False
-                elif c == "\\":
-                    escaped = True
-                elif c == '"':
-                    quoted = False
-            elif c == '"':
-                quoted = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if depth == 0:
-                    piece = text[start : i + 1]
-                    try:
-                        if "verdict" in json.loads(piece):
-                            return piece
-                    except (ValueError, TypeError):
-                        pass
-                    break
+    """The first object in a text, from any opening brace on, that is whole JSON and has a verdict."""
+    read = json.JSONDecoder().raw_decode
+    at = text.find("{")
+    while at >= 0:
+        try:
+            found, end = read(text, at)
+            if "verdict" in found:
+                return text[at:end]
+        except ValueError:
+            pass
+        at = text.find("{", at + 1)
     return None
 
 
@@ -82,6 +67,22 @@ def verdict_json(c: Column) -> Column:
     return F.when(good, F.struct(v.alias("verdict"), F.substring(r["evidence"], 1, 300).alias("evidence"), F.substring(r["reason"], 1, 300).alias("reason")))
 
 
+def verdicts_json(c: Column, criteria: list[str]) -> Column:
+    """criterion -> (verdict, evidence, reason) of an annotator's one object for all criteria, fences allowed.
+
+    Null unless each criterion has an object with a decided verdict; evidence and reason are cut to 300 characters, absent ones are empty.
+    """
+    wide = F.regexp_extract(F.regexp_replace(c, r"(?m)^\s*```[a-z]*\s*|\s*```\s*$", ""), r"(?s)(\{.*\})", 1)
+    got = F.from_json(wide, "map<string,string>")
+    one = {k: F.from_json(F.element_at(got, k), VERDICT) for k in criteria}
+    decided = F.lit(True)
+    for r in one.values():
+        decided = decided & F.coalesce(F.lower(F.trim(r["verdict"])).isin("pass", "fail"), F.lit(False))
+    cut = lambda x: F.substring(F.coalesce(x, F.lit("")), 1, 300)
+    made = F.create_map(*[x for k, r in one.items() for x in (F.lit(k), F.struct(F.lower(F.trim(r["verdict"])).alias("verdict"), cut(r["evidence"]).alias("evidence"), cut(r["reason"]).alias("reason")))])
+    return F.when(decided, made)
+
+
 def cache_key(**fields: Column) -> Column:
     """SHA-256 of the fields as JSON with sorted names; long texts go in as their own hash."""
     return F.sha2(F.to_json(F.struct(*[F.coalesce(fields[k].cast("string"), F.lit("")).alias(k) for k in sorted(fields)])), 256)
@@ -121,6 +122,20 @@ def cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     return own.withColumn("cost", F.round(total / 1_000_000, 6)).drop("_r", "_d")
 
 
+def stage_costs(traces: DataFrame, rates: DataFrame, rerank_rate: float) -> DataFrame:
+    """Costs of a trace by stage, and their sum: rows (trace_id, hyde, rerank, generation, total), each rounded to six digits.
+
+    ``traces`` has trace_id, stage (hyde, rerank or generation), model, at, prompt_tokens, cache_hit_tokens,
+    completion_tokens and total_tokens. Rerank costs its total tokens at ``rerank_rate`` per million, the
+    others by ``rates`` (``cost``); a stage that is absent costs nothing.
+    """
+    c = cost(traces, rates)
+    own = F.when(F.col("stage") == "rerank", F.coalesce("total_tokens", F.lit(0)) * rerank_rate / 1_000_000).otherwise(F.coalesce("cost", F.lit(0.0)))
+    each = [F.round(F.sum(F.when(F.col("stage") == s, own).otherwise(0.0)), 6).alias(s) for s in ("hyde", "rerank", "generation")]
+    out = c.groupBy("trace_id").agg(*each)
+    return out.withColumn("total", F.round(F.col("hyde") + F.col("rerank") + F.col("generation"), 6))
+
+
 def usage_sum(df: DataFrame, by: list[str], usage: str = "usage") -> DataFrame:
     """Field-wise sums of a usage struct; all fields empty gives null."""
     fields = [f.name for f in df.schema[usage].dataType.fields if isinstance(f.dataType, T.NumericType)]

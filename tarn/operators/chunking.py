@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.order import running_sums
 from tarn.session import ship
+from tarn.storage import Scratch
 
 #: Separators in the order they are tried (fixed values); the empty one cuts between characters.
 SEPARATORS = ("\n\n", "\n", "。", ".", "！", "？", "!", "?", " ", "")
@@ -16,31 +16,27 @@ PARENT = (1200, 150)
 CHILD = (400, 40)
 
 
-def _pieces(text: str, mark: str) -> list[str]:
-    """The text cut in front of every mark; single characters for the empty mark."""
+def _cuts(text: str, lo: int, hi: int, mark: str) -> list[int]:
+    """Ends of the pieces of text[lo:hi] that stand before each mark, and hi; every place for the empty mark."""
     if not mark:
-        return list(text)
-    out, begin, at = [], 0, text.find(mark)
+        return list(range(lo + 1, hi + 1))
+    out, at = [], text.find(mark, lo, hi)
     while at >= 0:
-        out.append(text[begin:at])
-        begin, at = at, text.find(mark, at + len(mark))
-    out.append(text[begin:])
-    return [p for p in out if p]
-
-
-def _windows(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Pieces joined to windows of at most ``size``; each starts with up to ``overlap`` characters of the last."""
-    out: list[str] = []
-    window: deque[str] = deque()
-    held = 0
-    for p in pieces:
-        if window and held + len(p) > size:
-            out.append("".join(window).strip())
-            while held > overlap or (held and held + len(p) > size):
-                held -= len(window.popleft())
-        window.append(p)
-        held += len(p)
-    out.append("".join(window).strip())
+        if at > lo:
+            out.append(at)
+        at = text.find(mark, at + len(mark), hi)
+    return [*out, hi]
+
+
+def _gather(text: str, spans: list[tuple[int, int]], size: int, overlap: int) -> list[str]:
+    """Neighbouring spans as windows of at most ``size``, each starting with up to ``overlap`` characters of the last."""
+    out, first = [], 0
+    for i, (_, hi) in enumerate(spans):
+        if i > first and hi - spans[first][0] > size:
+            out.append(text[spans[first][0] : spans[i - 1][1]].strip())
+            while first < i and (spans[i - 1][1] - spans[first][0] > overlap or hi - spans[first][0] > size):
+                first += 1
+    out.append(text[spans[first][0] : spans[-1][1]].strip())
     return [w for w in out if w]
 
 
@@ -49,23 +45,35 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
 
     A separator belongs to the piece behind it. Pieces shorter than ``size`` gather to
     windows; one as long or longer is cut further, or stands alone when no separator is left.
+    Pieces are spans of the one text; those still to be worked on wait on a stack, the first on top.
     """
     if overlap > size:
         raise ValueError(f"overlap {overlap} exceeds size {size}")
-    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    mark = separators[at]
-    later = separators[at + 1 :] if mark and mark in text else ()
     out: list[str] = []
-    short: list[str] = []
-    for p in _pieces(text, mark):
-        if len(p) < size:
-            short.append(p)
+    todo: list = [(0, len(text), 0)]  # spans with the separator to try next (None: whole as it is), and runs of short spans
+    while todo:
+        part = todo.pop()
+        if isinstance(part, list):
+            out += _gather(text, part, size, overlap)
+            continue
+        lo, hi, level = part
+        if level is None:
+            out.append(text[lo:hi])
             continue
-        if short:
-            out += _windows(short, size, overlap)
-            short = []
-        out += split_text(p, size, overlap, later) if later else [p]
-    return out + _windows(short, size, overlap) if short else out
+        at = next((i for i in range(level, len(separators)) if not separators[i] or text.find(separators[i], lo, hi) >= 0), None)
+        mark = separators[-1 if at is None else at]
+        level = at + 1 if at is not None and mark and at + 1 < len(separators) else None
+        row: list = []
+        for end in _cuts(text, lo, hi, mark):
+            if end - lo >= size:
+                row.append((lo, end, level))
+            elif end > lo and row and isinstance(row[-1], list):
+                row[-1].append((lo, end))
+            elif end > lo:
+                row.append([(lo, end)])
+            lo = end
+        todo += reversed(row)
+    return out
 
 
 def chunk(pages: DataFrame, parent: tuple[int, int] = PARENT, child: tuple[int, int] = CHILD) -> DataFrame:
@@ -108,6 +116,5 @@ def children_of(chunks: DataFrame) -> DataFrame:
 def census(chunks: DataFrame, tokens_per_char: float = 0.269) -> DataFrame:
     """Per document: child characters, children, estimated tokens, and running totals in order of the document."""
     d = chunks.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("children"))
-    # few rows: one for each document; the running total is a report
-    w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumns({"tokens": F.round(F.col("chars") * tokens_per_char).cast("long"), "chars_so_far": F.sum("chars").over(w), "children_so_far": F.sum("children").over(w)})
+    d = d.withColumn("tokens", F.round(F.col("chars") * tokens_per_char).cast("long"))
+    return running_sums(d, [], ["doc_id"], {"chars_so_far": F.col("chars"), "children_so_far": F.col("children")}, Scratch(chunks.sparkSession, "census"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import hamming, han_ratio, leak_ratio, question_norm, simhash
+from tarn.operators.order import positions
 from tarn.storage import Scratch
 
 #: Bounds of a question's checks (fixed values).
@@ -16,17 +19,21 @@ NEAR_BITS = 3
 
 
 def near_fingerprints(df: DataFrame, key: str, fp: str, bits: int = NEAR_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, whose 64-bit fingerprints differ in at most ``bits``: exact, by bands.
+    """Pairs (a, b), a < b, whose 64-bit fingerprints differ in at most ``bits``: exact, by pairs of blocks.
 
-    With one band more than ``bits``, two such fingerprints agree in at least one band whole. Keys of one fingerprint are
+    With two blocks more than ``bits``, two such fingerprints agree in at least two blocks whole; each pair of blocks
+    is a join key of about 26 bits (for 3 bits), so that keys stay rare in large tables. Keys of one fingerprint are
     collapsed first: they come as one group, paired with its smallest key, not with each other.
     """
     one = df.groupBy(F.col(fp).alias("_f")).agg(F.min(key).alias("_k"))
     same = df.select(F.col(key).alias("b"), F.col(fp).alias("_f")).join(one, "_f").where(F.col("_k") < F.col("b")).select(F.col("_k").alias("a"), "b")
-    n = bits + 1
-    width = 64 // n
-    bands = one.select("_k", "_f", F.posexplode(F.array(*[F.shiftrightunsigned("_f", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(n)])).alias("_i", "_b"))
-    x, y = bands.select(F.col("_k").alias("a"), F.col("_f").alias("fa"), "_i", "_b"), bands.select(F.col("_k").alias("b"), F.col("_f").alias("fb"), "_i", "_b")
+    n = bits + 2
+    cuts = [64 * i // n for i in range(n + 1)]
+    mask = lambda i: ((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = list(itertools.combinations(range(n), 2))
+    rows = one.select("_k", "_f", F.posexplode(F.array(*[F.col("_f").bitwiseAND(F.lit(signed(mask(i) | mask(j)))) for i, j in pairs])).alias("_i", "_b"))
+    x, y = rows.select(F.col("_k").alias("a"), F.col("_f").alias("fa"), "_i", "_b"), rows.select(F.col("_k").alias("b"), F.col("_f").alias("fb"), "_i", "_b")
     near = x.join(y, ["_i", "_b"]).where((F.col("a") < F.col("b")) & (hamming(F.col("fa"), F.col("fb")) <= bits)).select("a", "b").distinct()
     return near.unionByName(same)
 
@@ -123,8 +130,11 @@ def badcase_gates(rows: DataFrame, known: DataFrame, passage: Column, most: int
     )
     got = new.withColumn("_norm", question_norm(F.col("_q"))).join(norms, "_norm", "left").join(close, "_q", "left").select("id", "type", reason.alias("outcome"))
     if most is not None:
-        r = F.row_number().over(Window.partitionBy("type", "outcome").orderBy("id"))
-        got = got.withColumn("outcome", F.when((F.col("outcome") == "accepted") & F.col("type").isNotNull() & (r > most), "quota_full").otherwise(F.col("outcome")))
+        typed = got.where("outcome = 'accepted' and type is not null")
+        # with a fixed bound, only as many rows of a type leave each task
+        first = typed.withColumn("_r", F.row_number().over(Window.partitionBy("type").orderBy("id"))).where(F.col("_r") <= most)
+        full = typed.join(first.select("id"), "id", "left_anti").select("id", F.lit(True).alias("_full"))
+        got = got.join(full, "id", "left").withColumn("outcome", F.when(F.col("_full"), "quota_full").otherwise(F.col("outcome")))
     return got.select("id", "outcome").unionByName(old.select("id", F.lit("regression").alias("outcome")))
 
 
@@ -176,36 +186,53 @@ def pending(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_per(df: DataFrame, by: str, quota: dict[str, int], order: list[str]) -> DataFrame:
-    """The first rows of each group in order, as many as its quota; groups without one are left out."""
+    """The first rows of each group in order, as many as its quota; groups without one are left out.
+
+    The greatest quota bounds the rank, so that only so many rows of a group leave each task.
+    """
     n = F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(by))
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= max(quota.values())).where(F.col("_r") <= n).drop("_r")
+
+
+def filled_quotas(df: DataFrame, quota: dict[str, tuple[int, int]], order: list[str], by: str = "type") -> DataFrame:
+    """The first rows of each type, as many as its total; the first ``dev`` of these in the split dev, the others in holdout.
+
+    ``quota`` is (total, dev) for each type. The column ``split`` is replaced.
+    """
+    take = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in quota.items() for x in (k, v[i])]), F.col(by))
+    r = df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= max(v[0] for v in quota.values()))
+    return r.where(F.col("_r") <= take(0)).withColumn("split", F.when(F.col("_r") <= take(1), "dev").otherwise("holdout")).drop("_r")
+
+
+def united(first: DataFrame, later: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of two sets; where both have a key, that of the later set holds (``first`` with one row for each key)."""
+    return first.join(later.select(key).distinct(), key, "left_anti").unionByName(later, allowMissingColumns=True)
 
 
 def failures_first(df: DataFrame, failed: Column, n: int, passes: int, order: list[str]) -> DataFrame:
     """A sample for people: failed rows up to n less the passes, then the first ``passes`` that passed (fewer if there are not as many)."""
     f = df.withColumn("_f", failed)
-    have = F.least(F.lit(passes), F.lit(f.where(~F.col("_f")).limit(passes).count()))
-    r = f.withColumn("_r", F.row_number().over(Window.partitionBy("_f").orderBy(*order)))
-    return r.where(F.when(F.col("_f"), F.col("_r") <= F.greatest(F.lit(0), n - have)).otherwise(F.col("_r") <= have)).drop("_f", "_r")
+    good = f.where(~F.col("_f")).orderBy(*order).limit(passes)  # a bounded sort: each task keeps its first rows
+    have = good.count()
+    return f.where("_f").orderBy(*order).limit(max(0, n - have)).unionByName(good).drop("_f")
 
 
 def controls(df: DataFrame, failed: Column, quota: dict[str, int], total: int, by: str, order: list[str]) -> DataFrame:
     """All failed rows, and ``total`` passed ones: a quota for each type first, topped up with the others in order."""
     f = df.withColumn("_f", failed)
     n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(by)), F.lit(0))
-    p = f.where(~F.col("_f")).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).withColumn("_in", F.col("_r") <= n)
     # a group's rows behind its quota and the total can never be taken
-    p = p.where(F.col("_in") | (F.col("_r") <= n + total)).orderBy(F.desc("_in"), *order).limit(total)
+    p = f.where(~F.col("_f")).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= max([*quota.values(), 0]) + total)
+    p = p.withColumn("_in", F.col("_r") <= n).orderBy(F.desc("_in"), *order).limit(total)
     return f.where("_f").drop("_f").unionByName(p.drop("_f", "_r", "_in"))
 
 
 def round_robin(df: DataFrame, buckets: int, by: str, key: str) -> DataFrame:
-    """Balanced buckets over types: types by falling size, ids ascending, the buckets in turn."""
+    """Balanced buckets over types: types by falling size, ids ascending, the buckets in turn; a row's place among all comes from counted ranges."""
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_n"), by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each type
-    base = sizes.select(by, before.alias("_base"))
-    r = F.row_number().over(Window.partitionBy(by).orderBy(key))
-    return df.join(F.broadcast(base), by).withColumn("bucket", ((F.col("_base") + r - 1) % buckets).cast("int")).drop("_base")
+    with_size = df.join(F.broadcast(sizes), by)  # a row for each type
+    placed = positions(with_size, [F.desc("_n"), F.col(by), F.col(key)], "_place", Scratch(df.sparkSession, "round-robin"))
+    return placed.withColumn("bucket", (F.col("_place") % buckets).cast("int")).drop("_n", "_place")
 
 
 def parity(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -222,15 +249,14 @@ def best_passage(questions: DataFrame, passages: DataFrame, by: str = "doc_id",
 
 
 def prefix_match(excerpts: DataFrame, texts: DataFrame, n: int = 120) -> DataFrame:
-    """Texts that begin with the first n characters of an excerpt: an equi-join on those, first text in order wins."""
+    """Texts that begin with the first n characters of an excerpt: one equi-join on the prefixes of those lengths that occur, first text in order wins."""
     e = excerpts.select("id", F.substring("excerpt", 1, n).alias("_k")).where("_k <> ''")
-    full, short = e.where(F.length("_k") == n), e.where(F.length("_k") < n)
-    t = texts.select("text_id", "text")
-    hit = full.join(t.select("text_id", F.substring("text", 1, n).alias("_k")), "_k").select("id", "text_id")
-    lens = [r[0] for r in short.select(F.length("_k")).distinct().collect()]  # at most n - 1 lengths
-    for m in lens:
-        hit = hit.unionByName(short.where(F.length("_k") == m).join(t.select("text_id", F.substring("text", 1, m).alias("_k")), "_k").select("id", "text_id"))
-    return hit.groupBy("id").agg(F.min("text_id").alias("text_id"))
+    lengths = sorted(r[0] for r in e.select(F.length("_k")).distinct().collect())  # at most n
+    if not lengths:
+        return e.select("id", F.lit(None).cast(texts.schema["text_id"].dataType).alias("text_id")).limit(0)
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda m: m <= F.length("_t")), lambda m: F.substring(F.col("_t"), F.lit(1), m))
+    t = texts.select("text_id", F.substring("text", 1, n).alias("_t")).select("text_id", F.explode(prefixes).alias("_k"))
+    return e.join(t, "_k").groupBy("id").agg(F.min("text_id").alias("text_id"))
 
 
 def fresh_pages(pages: DataFrame, seen: DataFrame | None = None, least_han: int = 150, order: str = "url") -> DataFrame:
@@ -251,10 +277,8 @@ def passed_reviews(*rounds: DataFrame) -> DataFrame:
 def merge_candidates(old: DataFrame, new: DataFrame, by: str = "type") -> DataFrame:
     """Candidates with the types of ``new`` replaced; new rows are numbered on after the greatest qid that stays."""
     keep = old.join(new.select(by).distinct(), by, "left_anti")
-    top = keep.agg(F.coalesce(F.max("qid"), F.lit(0)).alias("_top"))
-    # candidates are a few thousand rows by nature
-    r = F.row_number().over(Window.orderBy(by, "question"))
-    fresh = new.crossJoin(F.broadcast(top)).withColumn("qid", (F.col("_top") + r).cast("long")).drop("_top")
+    top = keep.agg(F.coalesce(F.max("qid"), F.lit(0))).first()[0]
+    fresh = positions(new, [by, "question"], "_place", Scratch(old.sparkSession, "candidates")).withColumn("qid", (F.lit(top) + F.col("_place") + 1).cast("long"))
     return keep.unionByName(fresh.select(*keep.columns))
 
 

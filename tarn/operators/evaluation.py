@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.stats import kappa, mcnemar, percentile, rate, wilson
+from tarn.operators.order import positions
+from tarn.storage import Scratch
+
+#: What to try for a failure class (fixed values).
+SUGGESTIONS = {
+    "retrieval_miss.not_recalled": "候选手段：切分/embedding/融合调参；多跳题关注第二来源召回（top-k 或按来源增补）",
+    "retrieval_miss.ranked_below_cutoff": "候选手段：base_context_k 上调对照 / 多跳题按来源多样性增补",
+    "query_rewrite_drift": "候选手段：HyDE prompt 约束（禁编具体文献/数字）/ 低置信回退原 query",
+    "generation_synthesis_failure": "候选手段：prompt 多版本 A/B（'先综合再拒答'指令）",
+    "premise_not_corrected": "候选手段：对抗前提处理指令",
+    "citation_error": "候选手段：引用约束 prompt v2 + 输出后处理校验",
+    "omission": "候选手段：上下文呈现/prompt（保留观察类）",
+    "无问题": "",
+}
 
 
 def criteria(suite: Column, behaviour: Column, safety_type: Column) -> Column:
@@ -96,6 +110,17 @@ def paired_panel(base: DataFrame, variant: DataFrame) -> DataFrame:
     return g.select("criterion", "n", "b", "c", F.round(100 * (F.col("c") - F.col("b")) / F.col("n"), 1).alias("points"), mcnemar(F.col("b"), F.col("c")).alias("chi2"))
 
 
+def type_slice(base: DataFrame, variant: DataFrame, kind: str = "multi_hop") -> DataFrame:
+    """One row for the items of a type in two runs: n, correct answers before and after (pairs valid in both), false refusals before and after.
+
+    Both have id, type, false_refusal and verdict (of answer_correctness).
+    """
+    side = lambda d, x: d.where(F.col("type") == kind).select("id", F.col("verdict").alias(f"v{x}"), F.coalesce("false_refusal", F.lit(False)).alias(f"f{x}"))
+    j = side(base, "a").join(side(variant, "b"), "id")
+    valid = F.col("va").isin("pass", "fail") & F.col("vb").isin("pass", "fail")
+    return j.agg(F.count("*").alias("n"), F.count_if(valid & (F.col("va") == "pass")).alias("correct_before"), F.count_if(valid & (F.col("vb") == "pass")).alias("correct_after"), F.count_if("fa").alias("refused_before"), F.count_if("fb").alias("refused_after"))
+
+
 def mean_change(base: Column, variant: Column) -> Column:
     """↑, ↓ or = of two means, equal within 1e-9."""
     d = variant - base
@@ -128,16 +153,16 @@ def composed(judge: Column, code_pass: Column, criterion: Column) -> Column:
 
 
 def every_kth(df: DataFrame, k: int, order: list[str]) -> DataFrame:
-    """A systematic sample of sorted rows: the first, and every k-th after it.
+    """A systematic sample of sorted rows: the first, and every k-th after it, by places that ranges count."""
+    scratch = Scratch(df.sparkSession, "sample")
+    return positions(df, order, "_place", scratch).where(F.col("_place") % k == 0).drop("_place")
 
-    The position is the count of earlier rows: counted in ranges of the first sort column, so that only one
-    range is ever ordered in a task.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each partition
-    at = ranged.join(F.broadcast(sizes.select("_p", "_first", before.alias("_before"))), "_p")
-    return at.where((F.col("_before") + F.col("_i") - F.col("_first")) % k == 0).drop("_p", "_i", "_first", "_before")
+
+def measured(rows: DataFrame, segment: str, allow_measurement: bool = False) -> DataFrame:
+    """Rows of a segment (``all``: every one). The measurement segment, alone or within all, is refused unless it is allowed: nobody may tune on it."""
+    if segment == "measurement" and not allow_measurement:
+        raise PermissionError("the measurement segment is kept for the last run: pass allow_measurement")
+    return rows if segment == "all" else rows.where(F.col("segment") == segment)
 
 
 def agreement_of(a: Column, b: Column) -> list[Column]:
@@ -178,3 +203,19 @@ def attribute(df: DataFrame) -> DataFrame:
     out = sets.withColumn("attribution", kind)
     second = F.when(F.startswith("attribution", F.lit("retrieval_miss")) & F.coalesce("hyde_used", F.lit(False)), F.array(F.lit("hyde_used"))).otherwise(F.array().cast("array<string>"))
     return out.withColumn("secondary", second).drop("_some", "_has")
+
+
+def suggestion(attribution: Column) -> Column:
+    """What to try for a failure class; empty for others."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUGGESTIONS.items() for x in kv]), attribution), F.lit(""))
+
+
+def flat_runs(registry: DataFrame) -> DataFrame:
+    """The registry of runs, a JSON text each (column ``value``), as twelve columns; what a record lacks is null."""
+    g = lambda p, t="string": F.get_json_object("value", p).cast(t)
+    return registry.select(
+        g("$.run_id").alias("run_id"), g("$.run_type").alias("run_type"), g("$.dataset.n", "long").alias("n"), g("$.dataset.split").alias("split"),
+        g("$.cost.total_cny", "double").alias("total_cny"), g("$.cost.per_item_cny", "double").alias("per_item_cny"), g("$.latency.p50_ms", "double").alias("p50_ms"), g("$.latency.p95_ms", "double").alias("p95_ms"),
+        g("$.coverage.judge_coverage", "double").alias("judge_coverage"), g("$.metrics.answer_correctness_pass_rate.value", "double").alias("ac"),
+        g("$.metrics.false_refusal_rate.value", "double").alias("false_refusal"), g("$.metrics['recall@5_mean'].value", "double").alias("recall5"),
+    )

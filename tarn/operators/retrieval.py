@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from tarn.functions.text import tokens
 from tarn.session import ship
+from tarn.storage import Scratch
 
 #: Questions that are held at once, at 600 bytes each; more are worked on in blocks.
 BROADCAST_QUESTIONS = 20_000
@@ -22,15 +24,29 @@ DIM = 64
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+def histogram_of(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """A row for each text: counts of code point modulo ``dim``, L2-normalised; zeros for an empty text."""
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    n = np.bincount(row * dim + cp % dim, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
+    norm = np.sqrt((n * n).sum(axis=1, keepdims=True))
+    return np.divide(n, norm, out=n, where=norm > 0)
+
+
+def embed(df: DataFrame, key: str, text: str, vectors_of: Callable[[list[str]], Sequence], batch: int = 1024) -> DataFrame:
+    """(key, embedding) of every row by a model of texts, in batches as they lie: no row moves for it."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        clean = [t or "" for t in texts]
+        return pd.Series([v for i in range(0, len(clean), batch) for v in vectors_of(clean[i : i + batch])], dtype=object)
+
+    ship(df.sparkSession)
+    return df.select(key, F.pandas_udf(run, "array<double>")(F.col(text)).alias("embedding"))
+
+
 def histogram(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """Deterministic embedding (key, embedding): counts of code point modulo ``dim``, L2-normalised; zeros for an empty text."""
-    ch = df.select(key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("_c")).where("_c <> ''")
-    bins = ch.groupBy(key).agg(*[F.count_if(F.ascii("_c") % dim == i).cast("double").alias(f"b{i}") for i in range(dim)])
-    arr = F.array(*[F.col(f"b{i}") for i in range(dim)])
-    norm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda s, x: s + x * x))
-    got = bins.select(key, F.transform(arr, lambda x: x / norm).alias("embedding"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return df.select(key).join(got, key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
+    """Deterministic embedding (key, embedding): ``histogram_of`` of each row's text; a null text is empty."""
+    return embed(df, key, text, lambda texts: list(histogram_of(texts, dim)))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -113,49 +129,70 @@ def term_weights(posts: DataFrame, n: int) -> DataFrame:
     return d.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("_raw") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_raw")).alias("idf"))  # one row of means
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", text: str = "text", pad: bool = True, digits: int = 9) -> DataFrame:
+class Keywords:
+    """What keyword search needs of a corpus, made once: tokens (row_id, dl, tokens), terms (term, df, idf), rows and mean length."""
+
+    def __init__(self, tokens_: DataFrame, terms: DataFrame, rows: int | None = None, mean: float | None = None):
+        self.tokens, self.terms = tokens_, terms
+        if rows is None:
+            t = tokens_.agg(F.count("*").alias("n"), F.sum("dl").alias("len")).first()
+            rows, mean = t.n, (t.len or 0) / max(t.n, 1) or 1.0
+        self.rows, self.mean = rows, mean
+
+    @classmethod
+    def of(cls, chunks: DataFrame, scratch: Scratch) -> Keywords:
+        """``chunks`` has row_id (the corpus order) and text; texts are tokenised once, into a written table."""
+        t = chunks.select("row_id", tokens(F.col("text")).alias("tokens")).select("row_id", F.size("tokens").alias("dl"), "tokens")
+        t = scratch.cut(t, "tokens")
+        made = cls(t, t)
+        once = t.select("row_id", F.explode(F.array_distinct("tokens")).alias("term"))
+        made.terms = scratch.cut(term_weights(once, made.rows), "terms")
+        return made
+
+
+def bm25(questions: DataFrame, chunks: DataFrame | Keywords, k: int, qid: str = "qid", text: str = "text", pad: bool = True, digits: int = 9) -> DataFrame:
     """The k best chunks of each question by BM25 over the whole corpus: rows (qid, row_id, score, rank).
 
-    ``chunks`` has row_id (the corpus order) and text. Repeated question terms count
+    ``chunks`` has row_id (the corpus order) and text, or is the ``Keywords`` of such a table. Repeated question terms count
     again. Ties and, with ``pad``, the places that no matching chunk fills
     (score 0) go to the lowest rows of the corpus. A question without terms has no hits.
     Scores are rounded to ``digits``, as sums of doubles depend on their order.
 
-    Postings are made of the questions' own terms only and gathered by chunk; questions go to every task as lists by
-    term, scores of a batch of chunks are one matrix, and only the k best of each question leave it. No pair of
-    question and chunk is ever a row.
+    Questions go to every task as lists by term, with the weights of their terms; a batch of chunks is
+    counted for these terms only, its scores are one matrix, and only the k best of each question
+    leave it. No chunk is shuffled and no pair of question and chunk is ever a row.
     """
-    ship(questions.sparkSession)
-    row_type = dict(chunks.dtypes)["row_id"]
-    toks = chunks.select("row_id", tokens(F.col("text")).alias("_t"))
-    total = toks.agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("len")).first()
-    n, avgdl = total.n, (total.len or 0) / max(total.n, 1) or 1.0
-    weights = term_weights(postings(chunks), n)
+    spark = questions.sparkSession
+    ship(spark)
+    corpus = chunks if isinstance(chunks, Keywords) else Keywords.of(chunks, Scratch(spark, "keywords"))
+    toks, avgdl = corpus.tokens, corpus.mean
+    row_type = dict(toks.dtypes)["row_id"]
     q = questions.select(qid, F.explode(tokens(F.col(text))).alias("term")).groupBy(qid, "term").agg(F.count("*").alias("times"))
     parts = []
     for block in _blocks(q.groupBy(qid).agg(F.collect_list(F.struct("term", "times")).alias("_q")), qid, q.count(), QUESTION_TERMS):
         held = block.collect()
         ids = [r[0] for r in held]
-        names = sorted({t.term for r in held for t in r[1]})
+        asked = spark.createDataFrame(pd.DataFrame({"term": sorted({t.term for r in held for t in r[1]})}), "term string")
+        known = corpus.terms.join(F.broadcast(asked), "term").select("term", "idf").toPandas().sort_values("term")  # terms of a block of questions
+        names, idf = known["term"].tolist(), known["idf"].to_numpy(dtype=np.float64)
         number = {t: i for i, t in enumerate(names)}
-        flat = sorted((number[t.term], i, float(t.times)) for i, r in enumerate(held) for t in r[1])
+        flat = sorted((number[t.term], i, float(t.times)) for i, r in enumerate(held) for t in r[1] if t.term in number)
         term_no, who, times = (np.array(x) for x in zip(*flat, strict=True)) if flat else (np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))
         first = np.searchsorted(term_no, np.arange(len(names) + 1))
-        vocabulary = questions.sparkSession.createDataFrame(pd.DataFrame({"term": names, "_no": np.arange(len(names), dtype=np.int32)}), "term string, _no int")
-        # terms of at most BROADCAST_QUESTIONS questions
-        known = F.broadcast(vocabulary.join(weights, "term").select("term", "_no", "idf"))
-        post = toks.select("row_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(known, "term").groupBy("row_id", "_no").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"))
-        s = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-        docs = post.select("row_id", "_no", s.alias("_s")).groupBy("row_id").agg(F.collect_list("_no").alias("_no"), F.collect_list("_s").alias("_s"))
-
-        def run(batches, ids=ids, who=who, times=times, first=first):
+
+        def run(batches, ids=ids, names=names, idf=idf, who=who, times=times, first=first):
+            index = pd.Index(names, dtype=object)
             wide = max(1, 4_000_000 // max(1, len(ids)))
             for pdf in batches:
-                for a in range(0, len(pdf), wide):
+                for a in range(0, len(pdf) if names else 0, wide):
                     part = pdf.iloc[a : a + wide]
-                    sizes = part["_no"].map(len).to_numpy()
-                    no, w = np.concatenate(part["_no"].to_numpy()), np.concatenate(part["_s"].to_numpy())
-                    doc = np.repeat(np.arange(len(part)), sizes)
+                    no = index.get_indexer(np.concatenate([*part["tokens"].to_numpy(), np.zeros(0, dtype=object)]))
+                    doc = np.repeat(np.arange(len(part)), part["tokens"].map(len).to_numpy())
+                    cell, tf = np.unique(doc[no >= 0] * len(names) + no[no >= 0], return_counts=True)
+                    if not len(cell):
+                        continue
+                    doc, no = cell // len(names), cell % len(names)
+                    w = idf[no] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * part["dl"].to_numpy()[doc] / avgdl))
                     many = first[no + 1] - first[no]
                     at = np.repeat(first[no] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
                     cell = who[at] * len(part) + np.repeat(doc, many)
@@ -175,15 +212,15 @@ def bm25(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", text
                     if who_:
                         yield pd.DataFrame({"_i": who_, "row_id": np.concatenate(row_), "score": np.concatenate(sc)})
 
-        parts.append(_named(docs.mapInPandas(run, f"_i long, row_id {row_type}, score double"), ids, questions.schema[qid].dataType, qid).select(qid, "row_id", "score"))
+        parts.append(_named(toks.mapInPandas(run, f"_i long, row_id {row_type}, score double"), ids, questions.schema[qid].dataType, qid).select(qid, "row_id", "score"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
     if pad:
-        first_rows = chunks.select("row_id").orderBy("row_id").limit(2 * k)
+        first_rows = toks.select("row_id").orderBy("row_id").limit(2 * k)
         fill = q.select(qid).distinct().join(F.broadcast(first_rows))  # 2 k rows for each question
         # zeros sort before any negative score: only the first rows can fill the list, those that match no term
-        matched = toks.join(F.broadcast(first_rows), "row_id").select("row_id", F.explode(F.array_distinct("_t")).alias("term")).join(q, "term").select(qid, "row_id").distinct()
+        matched = toks.join(F.broadcast(first_rows), "row_id").select("row_id", F.explode(F.array_distinct("tokens")).alias("term")).join(q, "term").select(qid, "row_id").distinct()
         hits = fill.join(matched, [qid, "row_id"], "left_anti").select(qid, "row_id", F.lit(0.0).alias("score")).unionByName(hits)
     return _merged([hits], [F.desc("score"), F.col("row_id")], k, qid)
 
@@ -228,6 +265,33 @@ def rerank(pool: DataFrame, top: int = 12, qid: str = "qid", score: Column | Non
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("rerank_score"), "pool_rank"))).where(F.col("rank") <= top)
 
 
+def rerank_with(pool: DataFrame, model: Callable[[str, list[str], int], Sequence[tuple[int, float]]], top: int = 12, qid: str = "qid") -> DataFrame:
+    """The ``top`` chunks of each pool by a model, which gives (place in the pool, score) pairs of (query, texts, top).
+
+    A chunk that the model leaves out has score 0; ties stay in pool order. Where the model raises, the
+    pool order stays, scores count down from the pool's size, and the column ``error`` says why (else null).
+    A pool is a few dozen rows of one question.
+    """
+    ship(pool.sparkSession)
+    schema = pool.drop("rank").withColumns({"pool_rank": F.col("rank").cast("int"), "rerank_score": F.lit(0.0), "rank": F.lit(0), "error": F.lit(None).cast("string")}).schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
+        score, error = np.zeros(len(pdf)), None
+        try:
+            for i, x in model(str(pdf["query"].iloc[0]), pdf["text"].tolist(), min(top, len(pdf))):
+                score[i] = x
+        except Exception as e:  # noqa: BLE001
+            score, error = np.arange(len(pdf), 0, -1, dtype=float), f"{type(e).__name__}: {e}"
+        pdf["pool_rank"] = pdf.pop("rank").astype(np.int32)
+        pdf["rerank_score"], pdf["error"] = score, error
+        pdf = pdf.iloc[np.argsort(-score, kind="stable")[:top]].copy()
+        pdf["rank"] = np.arange(1, len(pdf) + 1, dtype=np.int32)
+        return pdf[schema.names]
+
+    return pool.groupBy(qid).applyInPandas(run, schema)
+
+
 def context_size(ranked: DataFrame, base: int = 4, most: int = 8, long_query: int = 36, close: float = 0.12, qid: str = "qid") -> DataFrame:
     """(qid, take): the number of context blocks: more for long queries and for scores that lie close together."""
     g = ranked.groupBy(qid).agg(F.max(F.length("query")).alias("_len"), F.count("rerank_score").alias("_n"), (F.max(F.when(F.col("rank") <= 12, F.col("rerank_score"))) - F.min(F.when(F.col("rank") <= 12, F.col("rerank_score")))).alias("_spread"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarn.functions.text import excerpt
 from tarn.operators import retrieval as R
 from tarn.operators.chunking import children_of, chunk, parents_of
-from tarn.operators.citations import citation_stats, citations
+from tarn.operators.citations import citation_stats, citations, with_sources
+from tarn.operators.order import positions
+from tarn.plans.models import HISTOGRAM, Embedder, model_udf, with_retries  # noqa: F401
 from tarn.sources.sinks import read_snapshot, write_snapshot
+from tarn.storage import Scratch
 
 
 @dataclass(frozen=True)
@@ -36,69 +37,54 @@ class Settings:
 
     @property
     def name(self) -> str:
-        way = f"rrf{self.rrf_k}" if self.fusion == "rrf" else "merge"
-        return f"vec{self.vector_k}_bm25{self.keyword_k}_{way}_rr{self.rerank_top}_k{self.base_k}-{self.max_k}_hyde{int(self.hyde)}_rr{int(self.rerank)}bm{int(self.keyword)}"
+        return f"vec{self.vector_k}_bm25{self.keyword_k}_{self.fusion}{self.rrf_k}_rr{self.rerank_top}_k{self.base_k}-{self.max_k}_hyde{int(self.hyde)}_rr{int(self.rerank)}bm{int(self.keyword)}"
 
     def but(self, **changes) -> Settings:
         return replace(self, **changes)
 
 
-def model_udf(f: Callable[[list[str]], list[str]], batch: int = 10) -> Callable[[Column], Column]:
-    """A text model as an Arrow function: texts in batches, blanks as one space; never repeated by the optimiser."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        clean = [t if t and t.strip() else " " for t in texts]
-        return pd.Series([y for i in range(0, len(clean), batch) for y in f(clean[i : i + batch])])
-
-    return F.pandas_udf(run, T.StringType()).asNondeterministic()
-
-
-def with_retries(f: Callable, tries: int = 4, wait: float = 1.0, transient: tuple[type[Exception], ...] = (TimeoutError, ConnectionError)) -> Callable:
-    """``f`` tried again after transient errors, the wait doubling; other errors come through at once."""
-    import time
-
-    def run(*a, **k):
-        for i in range(tries):
-            try:
-                return f(*a, **k)
-            except transient:
-                if i == tries - 1:
-                    raise
-                time.sleep(wait * 2**i)
-
-    return run
-
-
 class Index:
-    """Tables of one corpus: children (in corpus order), parents, vectors."""
+    """Tables of one corpus: children (in corpus order), parents, vectors, tokens, terms, documents."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], settings: Settings | None = None):
-        self.spark, self.tables, self.settings = spark, tables, settings or Settings()
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], settings: Settings | None = None, embedder: Embedder = HISTOGRAM):
+        self.spark, self.tables, self.settings, self.embedder = spark, tables, settings or Settings(), embedder
+        self._keywords: R.Keywords | None = None
 
     @classmethod
-    def build(cls, pages: DataFrame, root: str, settings: Settings | None = None) -> Index:
-        """Chunk pages and write one snapshot of the index; every table is there or none."""
-        from tarn.storage import Scratch
+    def build(cls, pages: DataFrame, root: str, settings: Settings | None = None, embedder: Embedder = HISTOGRAM) -> Index:
+        """Chunk pages and write one snapshot of the index, vectors and tokens with it; every table is there or none.
 
+        ``pages`` has doc_id, page, text and, if known, ``doc_ord`` (the order in which documents
+        came in, which settles ties in search; else the order of their ids) and ``loaded_at``.
+        """
         s = settings or Settings()
-        scratch = Scratch(pages.sparkSession, "index")
-        c = scratch.cut(chunk(pages, s.parent, s.child), "chunks")
-        kids = children_of(c)
-        # the corpus order: documents and their chunks
-        kids = kids.withColumn("row_id", F.col("chunk_uid"))
-        vectors = R.histogram(kids.drop("row_id"), "chunk_uid", "text")
-        write_snapshot({"children": kids, "parents": parents_of(c), "vectors": vectors}, root)
-        return cls.load(pages.sparkSession, root, s)
+        with Scratch(pages.sparkSession, "index") as scratch:
+            c = scratch.cut(chunk(pages, s.parent, s.child), "chunks")
+            given = lambda name, else_: F.min(name) if name in pages.columns else F.lit(else_)
+            documents = pages.groupBy("doc_id").agg(given("doc_ord", 0).alias("doc_ord"), (F.max(F.col("loaded_at").cast("string")) if "loaded_at" in pages.columns else F.lit("")).alias("loaded_at"))
+            kids = children_of(c).join(documents.select("doc_id", "doc_ord"), "doc_id")
+            kids = scratch.cut(positions(kids, ["doc_ord", "doc_id", "ord"], "row_id", scratch).drop("doc_ord"), "children")
+            words = R.Keywords.of(kids.select("row_id", "text"), scratch)
+            vectors = embedder.of(kids, "chunk_uid", "text")
+            write_snapshot({"children": kids, "parents": parents_of(c), "vectors": vectors, "tokens": words.tokens, "terms": words.terms, "documents": documents}, root)
+        return cls.load(pages.sparkSession, root, s, embedder)
 
     @classmethod
-    def load(cls, spark: SparkSession, root: str, settings: Settings | None = None) -> Index:
-        return cls(spark, read_snapshot(spark, root, R.DIM), settings)
+    def load(cls, spark: SparkSession, root: str, settings: Settings | None = None, embedder: Embedder = HISTOGRAM) -> Index:
+        return cls(spark, read_snapshot(spark, root, embedder.dim), settings, embedder)
+
+    @property
+    def keywords(self) -> R.Keywords:
+        if self._keywords is None:
+            self._keywords = R.Keywords(self.tables["tokens"], self.tables["terms"])
+        return self._keywords
 
-    def retrieve(self, questions: DataFrame, settings: Settings | None = None, rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
+    def retrieve(self, questions: DataFrame, settings: Settings | None = None, rewrite: Callable[[Column], Column] | None = None, reranker: Callable | None = None) -> DataFrame:
         """Context blocks of every question (qid, question): rows (qid, rank, parent_id, doc_id, text, rerank_score).
 
         With ``rewrite`` a hypothetical answer stands for the question in search, rerank and the length rule; it is
-        used only where it is longer than ten characters.
+        used only where it is longer than ten characters. With ``reranker`` (``retrieval.rerank_with``) a model ranks
+        each pool; where it fails the fused order stays.
         """
         s = settings or self.settings
         q = questions.select("qid", F.col("question").alias("text"))
@@ -106,10 +92,13 @@ class Index:
             r = rewrite(F.col("text"))
             q = q.withColumn("text", F.when(F.length(r) > 10, r).otherwise(F.col("text")))
         kids = self.tables["children"]
-        v = R.nearest(R.histogram(q, "qid", "text"), kids.select("chunk_uid", "row_id").join(self.tables["vectors"], "chunk_uid"), s.vector_k)
-        k = R.bm25(q, kids.select("row_id", "text"), s.keyword_k) if s.keyword else v.limit(0)
+        v = R.nearest(self.embedder.of(q, "qid", "text", "queries"), kids.select("chunk_uid", "row_id").join(self.tables["vectors"], "chunk_uid"), s.vector_k)
+        k = R.bm25(q, self.keywords, s.keyword_k) if s.keyword else v.limit(0)
         pool = R.fuse(v, k, s.fusion, s.rrf_k).join(kids.select("row_id", "chunk_uid", "parent_id", "text"), "row_id").join(q.select("qid", F.col("text").alias("query")), "qid")
-        ranked = R.rerank(pool, s.rerank_top, score=R.overlap_score(F.col("query"), F.col("text")) if s.rerank else None)
+        if s.rerank and reranker is not None:
+            ranked = R.rerank_with(pool, reranker, s.rerank_top).drop("error")
+        else:
+            ranked = R.rerank(pool, s.rerank_top, score=R.overlap_score(F.col("query"), F.col("text")) if s.rerank else None)
         return R.context_blocks(ranked, self.tables["parents"], R.context_size(ranked, s.base_k, s.max_k))
 
     def retrieve_many(self, questions: DataFrame, queries: DataFrame, most: int = 4, settings: Settings | None = None) -> DataFrame:
@@ -134,11 +123,16 @@ class Index:
         a = questions.join(ctx, "qid", "left").withColumn("answer", generate(F.col("question"), F.col("context")))
         return a.join(citation_stats(a, "qid", "answer", F.coalesce("n_contexts", F.lit(0))), "qid")
 
-    def cited(self, answers: DataFrame) -> DataFrame:
-        return citations(answers, "qid", "answer", F.coalesce("n_contexts", F.lit(0)))
+    def cited(self, answers: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+        """Citations of answers, with document, parent and snippet where the blocks that were given are known."""
+        c = citations(answers, "qid", "answer", F.coalesce("n_contexts", F.lit(0)))
+        return c if blocks is None else with_sources(c, blocks, "qid")
 
     def documents(self) -> DataFrame:
-        return self.tables["children"].groupBy("doc_id").agg(F.count("*").alias("children"), F.sum(F.length("text")).alias("chars"))
+        """Documents with their children, those loaded last first (compared as text, a missing time last)."""
+        n = self.tables["children"].groupBy("doc_id").agg(F.count("*").alias("children"), F.sum(F.length("text")).alias("chars"))
+        d = self.tables["documents"].select("doc_id", F.coalesce("loaded_at", F.lit("")).alias("loaded_at"))
+        return n.join(d, "doc_id").orderBy(F.desc("loaded_at"), "doc_id")
 
     def content(self, doc_id: str) -> DataFrame:
         """Parents of a document in order, long ones as excerpts."""
@@ -153,7 +147,6 @@ def judge_pending(rows: DataFrame, cache: DataFrame, key: Column, judge: Callabl
     """
     from tarn.functions.records import verdict_json
     from tarn.operators.curation import upsert
-    from tarn.storage import Scratch
 
     spark = rows.sparkSession
     scratch = Scratch(spark, "judge")

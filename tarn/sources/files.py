@@ -47,21 +47,24 @@ def decode(content: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def sniff(content: pd.Series) -> pd.Series:
-    """The first of several encodings that gives more than 20 Han characters and no replacement character; else UTF-8 without what is invalid."""
-    import re
+def _read_gb(content: pd.Series) -> pd.Series:
+    """Bytes as GB 18030 (of which GBK is a part); null where they are not."""
 
-    def one(b: bytes) -> str:
-        for e in ("utf-8-sig", "utf-8", "gb18030", "gbk"):
-            try:
-                t = bytes(b).decode(e)
-            except UnicodeDecodeError:
-                continue
-            if "�" not in t and len(re.findall("[一-鿿]", t)) > 20:
-                return t.lstrip("﻿")
-        return bytes(b).decode("utf-8", "ignore").lstrip("﻿")
+    def text(b: bytes) -> str | None:
+        t = bytes(b).decode("gb18030", "surrogateescape")
+        return None if any("\udc80" <= ch <= "\udcff" for ch in t) else t
 
-    return content.map(one)
+    return content.map(text)
+
+
+def sniff(content: Column) -> Column:
+    """Text of bytes in UTF-8 or GB 18030: the first reading that is whole and has more than 20 Han characters; else UTF-8 without what is invalid."""
+    plain = lambda c: F.regexp_replace(c, r"^\x{FEFF}+", "")
+    chinese = lambda c: ~F.contains(c, F.lit("\ufffd")) & (F.regexp_count(c, F.lit(r"[\x{4e00}-\x{9fff}]")) > 20)
+    as_utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
+    as_gb = _read_gb(F.when(F.coalesce(~chinese(as_utf8), F.lit(True)), content))
+    rest = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+    return plain(F.when(chinese(as_utf8), as_utf8).when(chinese(as_gb), as_gb).otherwise(rest))
 
 
 def pages_of(files: DataFrame) -> DataFrame:

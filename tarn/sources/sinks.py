@@ -23,11 +23,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(tmp, target):
-        raise OSError(f"cannot rename to {path}")
+    # one rename that replaces the target: a reader sees the old file or the new one, and a crash leaves the old one
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    qualified = [fs.makeQualified(p) for p in (tmp, jvm.org.apache.hadoop.fs.Path(path))]
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified[0].toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(*qualified, overwrite)
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str) -> str:
@@ -73,6 +73,29 @@ def merge_form(rows: DataFrame, form: DataFrame, keys: list[str], fields: list[s
     return rows.join(f, keys, "left").select(*[c for c in rows.columns if c not in fields], *[F.coalesce(F.col(f"_{c}"), F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in fields])
 
 
+def run_report(run_id: str, summary: dict, types: list[dict], coverage: dict | None = None, aborted: bool = False) -> str:
+    """A run's report as Markdown, from its aggregated row, its rows by type and its judge coverage.
+
+    ``summary`` is a row of ``evaluation.summarise``, ``types`` are rows of ``evaluation.by_type``, ``coverage``
+    one of ``evaluation.judge_coverage``. Rates come with their interval; what does not apply is a dash.
+    """
+    show = lambda v, n=3: "—" if v is None else f"{v:.{n}f}"
+    out = [f"# 评测报告 · {run_id}", "", f"{summary['n']} 题" + ("，因成本护栏提前结束" if aborted else ""), "", "## 指标", "", "| 指标 | 值 | 95 % 区间 | n |", "|---|---:|---|---:|"]
+    for name in ("refused", "false_refusal", "oos_refusal_pass"):
+        if summary.get(f"{name}_n"):
+            out.append(f"| {name} | {show(summary[name])} | {show(summary[name + '_lo'])}–{show(summary[name + '_hi'])} | {summary[name + '_n']} |")
+    for name in ("recall5", "mrr"):
+        out.append(f"| {name} | {show(summary.get(name))} | — | — |")
+    out += ["", "## 题型", "", "| 题型 | n | 拒答 | 规则通过 |", "|---|---:|---:|---:|"]
+    for t in sorted(types, key=lambda t: t["type"]):
+        rules = f"{t['metric_pass']}/{t['metric_total']}" if t["metric_total"] else "—"
+        out.append(f"| {t['type']} | {t['n']} | {t['refused']} | {rules} |")
+    if coverage:
+        out += ["", "## 判定覆盖", "", f"应判 {coverage['expected']}，有效 {coverage['valid']}，覆盖率 {show(coverage['coverage'])}"]
+    out += ["", "## 成本与延迟", "", f"合计 {show(summary.get('cost'), 4)}，每题 {show(summary.get('cost_per_item'), 5)}；p50 {show(summary.get('p50_ms'), 0)} ms，p95 {show(summary.get('p95_ms'), 0)} ms"]
+    return "\n".join(out) + "\n"
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A report table; a number under 1 has four digits, others are grouped with two, none is a dash."""
 

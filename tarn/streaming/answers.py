@@ -34,3 +34,20 @@ def sse(events: Iterator[tuple[str, Any]]) -> Iterator[str]:
             yield f"event: {kind}\ndata: {json.dumps(data, ensure_ascii=False)}\n\n"
     except Exception as e:  # noqa: BLE001
         yield f"event: error\ndata: {json.dumps(str(e), ensure_ascii=False)}\n\n"
+
+
+def sessions_of(pieces):
+    """Whole answers of streamed pieces (session, ord, text, usage): rows (session, answer, usage), the text in order and the usage of the last piece that has one."""
+    from pyspark.sql import functions as F
+
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda p: F.coalesce(p["text"], F.lit("")))
+    return pieces.groupBy("session").agg(F.array_join(parts, "").alias("answer"), F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("ord"))).alias("usage"))
+
+
+async def answer_async(generate: Callable[[str], Any], context: str) -> dict:
+    """One answer of an asynchronous source of (text, usage) pieces: its text, and the usage of the last piece that has one."""
+    parts, usage = [], None
+    async for text, used in generate(context):
+        parts.append(text or "")
+        usage = used or usage
+    return {"answer": "".join(parts), "usage": usage}

@@ -60,7 +60,7 @@ def test_usage_sums(spark):
 
 def test_settings_have_a_name():
     assert Settings().name == "vec24_bm2524_rrf60_rr12_k4-8_hyde0_rr1bm1"
-    assert Settings().but(fusion="merge", rerank=False).name == "vec24_bm2524_merge_rr12_k4-8_hyde0_rr0bm1"
+    assert Settings().but(fusion="merge", rerank=False).name == "vec24_bm2524_merge60_rr12_k4-8_hyde0_rr0bm1"
 
 
 def test_index_answers_whole_sets_of_questions(spark, tmp_path):
