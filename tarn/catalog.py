@@ -8,14 +8,17 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.functions import spelling as P
 from tarn.functions import stats as S
 from tarn.functions import text as X
 from tarn.operators import citations as C
 from tarn.operators import curation as Q
 from tarn.operators import evaluation as E
 from tarn.operators import retrieval as R
+from tarn.operators.order import running_sums
 from tarn.oracles import ORACLE  # noqa: F401
 from tarn.session import settle
+from tarn.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -48,12 +51,18 @@ def _digest(a: Column) -> Column:
     return F.md5(F.array_join(a, "\x1f"))
 
 
+def _spelt(df: DataFrame) -> DataFrame:
+    """Categories in their plain spelling."""
+    plain = {"type": P.word(F.col("type"), P.TYPE_NAMES), "split": P.split_name(F.col("split")), "suite": P.word(F.col("suite"))}
+    return df.withColumns(plain | ({"difficulty": P.word(F.col("difficulty"), P.DIFFICULTY_NAMES)} if "difficulty" in df.columns else {}))
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.latest(_t(spark, sf, "business_v1").drop("authoring"), ["id"], F.col("loaded_at"))
+    return _spelt(Q.latest(_t(spark, sf, "business_v1").drop("authoring"), ["id"], F.col("loaded_at")))
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.latest(_t(spark, sf, "results"), ["trace_id"], F.col("loaded_at"))
+    return _spelt(Q.latest(_t(spark, sf, "results"), ["trace_id"], F.col("loaded_at")))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,9 +272,8 @@ def tx_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tx_html(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents").where(F.contains("text", F.lit("<")))
-    c = X.clean_html(F.col("text"))
-    return d.select("doc_id", _long(F.length(c)).alias("chars"), F.md5(c).alias("md5"))
+    c = X.clean_html(F.coalesce("text", F.lit("")))
+    return _t(spark, sf, "documents").select("doc_id", _long(F.length(c)).alias("chars"), F.md5(c).alias("md5"))
 
 
 #: Topics of titles and texts for the classifier query (invented rules).
@@ -354,7 +362,7 @@ def ev_rule_metrics(spark: SparkSession, sf: str) -> DataFrame:
     i = _items(spark, sf).select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("k"), "suite", "expected_behavior", "injection_marker")
     p = _pairs(spark, sf).select(F.regexp_extract("case_id", r"(\d+)$", 1).cast("long").alias("k"), "case_id", "answer")
     m = E.rule_metrics(F.lower("suite"), F.col("expected_behavior"), F.col("answer"), F.col("injection_marker"), X.refuses(F.col("answer")))
-    return p.join(i, "k").select("case_id", *[c.alias(n) for n, c in m.items()])
+    return p.join(i, "k", "left").select("case_id", *[c.alias(n) for n, c in m.items()])
 
 
 @query
@@ -390,7 +398,7 @@ def ev_coverage(spark: SparkSession, sf: str) -> DataFrame:
 def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The first and the last run, an item's last row in each."""
     r = _results(spark, sf)
-    one = Q.latest(r.drop("trace_id").join(r.select("trace_id", "run_id", "id", "started_at"), ["run_id", "id", "started_at"]), ["run_id", "id"], F.col("started_at"), F.col("trace_id"))
+    one = Q.latest(r, ["run_id", "id"], F.col("started_at"), F.col("trace_id"))
     ends = r.agg(F.min("run_id").alias("lo"), F.max("run_id").alias("hi"))
     pick = lambda c: one.join(F.broadcast(ends.select(F.col(c).alias("run_id"))), "run_id")
     return pick("lo"), pick("hi")
@@ -421,8 +429,9 @@ def ev_paired_refusal(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ev_cost_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of each run until its cost passes a guard: the running sum before a row decides."""
-    w = Window.partitionBy("run_id").orderBy("started_at", "trace_id").rowsBetween(Window.unboundedPreceding, -1)
-    r = _results(spark, sf).withColumn("before", F.round(F.coalesce(F.sum("cost_cny").over(w), F.lit(0.0)), 6)).where("before < 0.5")
+    r = _results(spark, sf).select("run_id", "started_at", "trace_id", "cost_cny")
+    r = running_sums(r, ["run_id"], ["started_at", "trace_id"], {"upto": F.coalesce("cost_cny", F.lit(0.0))}, Scratch(spark, "cost"))
+    r = r.where(F.round(F.col("upto") - F.coalesce("cost_cny", F.lit(0.0)), 6) < 0.5)
     return r.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.round(F.sum("cost_cny"), 9), 4).alias("cost"))
 
 
@@ -490,8 +499,8 @@ def ev_attribution_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def qc_pass_rate(spark: SparkSession, sf: str) -> DataFrame:
-    _labels(spark, sf).createOrReplaceTempView("tarn_labels")
-    return spark.sql("SELECT criterion, count(*) AS n, sum(CASE WHEN label = 'pass' THEN 1 ELSE 0 END) AS pass_n, sum(CASE WHEN label = 'fail' THEN 1 ELSE 0 END) AS fail_n, round(1.0D * sum(CASE WHEN label = 'pass' THEN 1 ELSE 0 END) / count(*), 4) AS pass_rate FROM tarn_labels GROUP BY criterion")
+    ok, bad = (F.count_if(F.col("label") == v) for v in ("pass", "fail"))
+    return _labels(spark, sf).groupBy("criterion").agg(F.count("*").alias("n"), ok.alias("pass_n"), bad.alias("fail_n"), F.round(ok / F.count("*"), 4).alias("pass_rate"))
 
 
 @query
@@ -595,32 +604,22 @@ def qc_unknown_documents(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(_t(spark, sf, "manifest").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def _gates(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
+    i = _items(spark, sf)
+    held = F.coalesce("split", F.lit("")) == "holdout"
+    return Q.badcase_gates(i, i.where(held), F.col("ground_truth"), most)
+
+
 @query
 def qc_badcases(spark: SparkSession, sf: str) -> DataFrame:
-    """Gates of new cases: known ids become regression labels, others pass or get the first reason against them."""
-    i = _items(spark, sf).where("split is not null")
-    known = i.where(F.lower("split") == "holdout")
-    new = i.where(F.lower("split") != "holdout")
-    kq = known.select(X.question_norm(F.col("question")).alias("norm")).distinct().withColumn("dup", F.lit(True))
-    refuse = F.col("expected_behavior") == "refuse"
-    j = new.withColumn("norm", X.question_norm(F.col("question"))).join(kq, "norm", "left")
-    reason = (
-        F.when(F.trim("question") == "", "missing_question")
-        .when(~refuse & (F.col("ground_truth").isNull() | (F.coalesce(F.size("key_claims"), F.lit(0)) <= 0)), "missing_truth_or_claims")
-        .when(~refuse & (F.coalesce(F.size("supporting_docs"), F.lit(0)) <= 0), "missing_documents")
-        .when(F.coalesce("dup", F.lit(False)), "duplicate_exact")
-        .when(X.leak_ratio(F.col("question"), F.col("ground_truth")) > Q.LEAK_MOST, "leakage")
-    )
-    g = j.select("id", "type", reason.alias("reason"))
-    r = F.row_number().over(Window.partitionBy("type", F.col("reason").isNull()).orderBy("id"))
-    return g.withColumn("reason", F.when(F.col("reason").isNull() & (r > 100), "quota_full").otherwise(F.col("reason"))).select("id", F.coalesce("reason", F.lit("accepted")).alias("outcome"))
+    """Gates of new cases with a cap of 100 for each type, against the holdout items as the known set; those come out as regression rows."""
+    return _gates(spark, sf, 100)
 
 
 @query
 def qc_badcase_gates(spark: SparkSession, sf: str) -> DataFrame:
-    """All gates of new cases, against the holdout items as the known set; those come out as regression rows. No cap of a type."""
-    i = _items(spark, sf).where("split is not null")
-    return Q.badcase_gates(i, i.where(F.lower("split") == "holdout"), F.col("ground_truth"))
+    """The same gates without a cap."""
+    return _gates(spark, sf)
 
 
 @query
@@ -720,8 +719,8 @@ def qc_passed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def qc_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Items of plain spelling; the multi-hop ones replaced by themselves and numbered anew."""
-    i = _items(spark, sf).where("type in ('factual', 'multi_hop')").select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("qid"), "type", "question")
+    """Distinct questions of each type; the multi-hop ones replaced by themselves and numbered anew."""
+    i = _items(spark, sf).select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("qid"), "type", "question")
     i = i.groupBy("type", "question").agg(F.min("qid").alias("qid"))
     return Q.merge_candidates(i, i.where("type = 'multi_hop'")).select("qid", "type", F.md5("question").alias("question"))
 

@@ -63,9 +63,11 @@ def marker_numbers(c: Column) -> Column:
 
 
 def ngrams(c: Column, n: int) -> Column:
-    """Distinct character n-grams of the text without blanks; none if it is shorter than n."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
-    return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams of the text without blanks; none if it is shorter than n. The text is split to characters once."""
+    chars = F.filter(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), ""), lambda x: x != "")
+    shifted = [chars if j == 0 else F.slice(chars, j + 1, F.greatest(F.size(chars) - j, F.lit(0))) for j in range(n)]
+    rows = F.slice(F.arrays_zip(*[s.alias(f"c{j}") for j, s in enumerate(shifted)]), 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+    return F.array_distinct(F.transform(rows, lambda g: F.concat(*[g[f"c{j}"] for j in range(n)])))
 
 
 def leak_ratio(question: Column, passage: Column, n: int = 5) -> Column:
