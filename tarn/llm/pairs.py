@@ -163,19 +163,25 @@ def sentence_ends(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(found.groupBy("_key").agg(F.max(known)["p"].alias("whole"), F.coalesce(begins, F.lit(False)).alias("begins")), "ends")
 
 
-def language(c: Column) -> Column:
-    """zh, ja, ko, ru, en, other, or null where there is too little text to tell."""
-    n = lambda p: F.regexp_count(c, F.lit(p))
-    han, lower = n(r"[\x{4e00}-\x{9fff}]"), n(r"\b[a-zà-ÿ']{2,}\b")
-    en, other = n(STOP_EN), n(STOP_OTHER)
+#: What the languages of a text are told by, each counted once.
+_COUNTED = {"han": r"[\x{4e00}-\x{9fff}]", "lower": r"\b[a-zà-ÿ']{2,}\b", "en": STOP_EN, "other": STOP_OTHER, "ko": r"[\x{ac00}-\x{d7a3}]", "ja": r"[\x{3041}-\x{30ff}]", "ru": r"[\x{0400}-\x{04ff}]", "far": r"[\x{0370}-\x{03ff}\x{0590}-\x{0dff}\x{0e00}-\x{0eff}]", "accent": r"[à-ÿ]"}
+
+
+def _counts(c: Column, prefix: str) -> dict[str, Column]:
+    return {f"{prefix}_{k}": F.regexp_count(c, F.lit(p)) for k, p in _COUNTED.items()}
+
+
+def _language(prefix: str) -> Column:
+    """zh, ja, ko, ru, en, other, or null where there is too little text to tell, from ``_counts``."""
+    n = {k: F.col(f"{prefix}_{k}") for k in _COUNTED}
     return (
-        F.when(n(r"[\x{ac00}-\x{d7a3}]") >= 3, "ko")
-        .when(n(r"[\x{3041}-\x{30ff}]") >= 3, "ja")
-        .when(n(r"[\x{0400}-\x{04ff}]") >= 3, "ru")
-        .when(n(r"[\x{0370}-\x{03ff}\x{0590}-\x{0dff}\x{0e00}-\x{0eff}]") >= 3, "other")
-        .when((han >= 4) | ((han >= 1) & (lower <= 1)), "zh")
-        .when((lower >= 3) & (other + n(r"[à-ÿ]") > en), "other")
-        .when(lower >= 3, "en")
+        F.when(n["ko"] >= 3, "ko")
+        .when(n["ja"] >= 3, "ja")
+        .when(n["ru"] >= 3, "ru")
+        .when(n["far"] >= 3, "other")
+        .when((n["han"] >= 4) | ((n["han"] >= 1) & (n["lower"] <= 1)), "zh")
+        .when((n["lower"] >= 3) & (n["other"] + n["accent"] > n["en"]), "other")
+        .when(n["lower"] >= 3, "en")
     )
 
 
@@ -183,65 +189,121 @@ def _vote(plus: Column, minus: Column) -> Column:
     return F.when(plus, F.lit(1)).when(minus, F.lit(-1)).otherwise(F.lit(0))
 
 
-def labelling_functions(question: Column, answer: Column) -> dict[str, dict[str, Column]]:
-    """The votes for each defect; those of ``truncated`` use the columns whole and begins of ``sentence_ends``."""
-    q, raw = F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit(""))
-    a = F.regexp_replace(F.regexp_replace(raw, CITATION, ""), r"[\p{Cf}]+", "")
-    a = F.regexp_replace(a, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    core, core_q = _bare(a), _bare(q)
-    n, nq = F.length(core), F.length(core_q)
-    has = n > 0
-    led = F.regexp_replace(a, LEAD_IN, "")
-    core_led = _bare(led)
-    rest = F.when(nq >= 4, F.replace(core_led, core_q, F.lit(""))).otherwise(core_led)
-    begins = (F.length(core_led) * 2 >= nq) & (nq >= 6) & F.startswith(core_q, core_led)
-    distance = F.when((n <= nq * 3 / 2 + 8) & (nq >= 6) & (nq <= 2000), F.levenshtein(core_led, core_q)).otherwise(nq + 99)
-    # a quoted question in front of an answer is no part of it
-    body = F.when(nq >= 4, F.replace(led, q, F.lit(""))).otherwise(led)
-    body = F.when(F.contains(core, core_q) & (nq >= 6), F.regexp_replace(body, r"(?s)^.{0,400}?[”\"][：:。.,，]?\s*", "")).otherwise(a)
-    sentences = F.filter(F.split(body, r"(?<=[。！？])|\n|(?<=[.?!])\s"), lambda s: F.length(_bare(s)) > 1)
-    idle = F.filter(sentences, lambda s: s.rlike(DECLINE) | s.rlike(COURTESY))
-    declines = F.exists(sentences, lambda s: s.rlike(DECLINE) & ~s.rlike(PARTLY))
-    opener = F.coalesce(F.get(sentences, F.lit(0)), F.lit(""))
-    all_idle = (F.size(sentences) > 0) & (F.size(idle) == F.size(sentences))
-    lang_q, lang_a = language(F.regexp_replace(q, r"(?i)(reply|answer) in (english|chinese),?( please)?\.?|（?请?用(中文|英文)(回答|作答)。?）?|（答案用.语给出）", "")), language(a)
-    asked = (q.rlike(ASKS_ENGLISH) & (lang_a == "en")) | (q.rlike(ASKS_CHINESE) & (lang_a == "zh"))
-    differ, same = (lang_a != lang_q) & ~asked & ~core.isin(*PLACEHOLDER), (lang_a == lang_q) | asked
-    han_share = F.try_divide(F.regexp_count(a, F.lit(r"[\x{4e00}-\x{9fff}]")).cast("double"), F.length(F.regexp_replace(a, r"[^\p{L}]", "")))
-    foreign = F.regexp_count(a, F.lit(r"[\x{ac00}-\x{d7a3}\x{3041}-\x{30ff}\x{0400}-\x{04ff}à-ÿ]"))
-    terminal, dangling = a.rlike(TERMINAL), F.regexp_replace(a, r"[*`_\s]+$", "").rlike(DANGLING)
-    whole, known = F.col("whole"), F.col("begins")
-    # a single piece that begins as no sentence does is a bare value, such as a name, a number or a date
-    single = ~F.regexp_replace(a, r"[\s*`_]+$", "").rlike(r"[。！？!?\n]|\.\s")
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, a column of the table at a time as bits of one integer: exact for texts of any length."""
+    if not b:
+        return len(a)
+    full, top = (1 << len(b)) - 1, len(b) - 1
+    at: dict[str, int] = {}
+    for i, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << i
+    up, down, score = full, 0, len(b)
+    for c in a:
+        eq = at.get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | (full & ~(h | up)), up & h
+        score += (plus >> top & 1) - (minus >> top & 1)
+        plus, minus = plus << 1 | 1, minus << 1
+        up = (minus | ~(v | plus)) & full
+        down = plus & v & full
+    return score
+
+
+def _far(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"_key": pdf["_key"], "_far": [edit_distance(a, q) for a, q in zip(pdf["c_led"], pdf["c_q"], strict=True)]})
+
+
+#: Longer questions are compared in Python, which takes less time for them than the JVM; the distance is the same.
+LONG = 2000
+
+
+def prepared(df: DataFrame, question: Column, answer: Column) -> DataFrame:
+    """``df`` with everything that labelling functions look at. Each step is a projection of its own, so that no expression is evaluated twice."""
+    raw = F.coalesce(answer, F.lit(""))
+    d = df.withColumns({"c_question": F.coalesce(question, F.lit("")), "c_raw": F.regexp_replace(F.regexp_replace(raw, CITATION, ""), r"[\p{Cf}]+", "")})
+    d = d.withColumn("c_a", F.regexp_replace("c_raw", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    d = d.withColumns({"c_core": _bare(F.col("c_a")), "c_q": _bare(F.col("c_question")), "c_text": F.regexp_replace("c_a", LEAD_IN, "")})
+    d = d.withColumns({"c_led": _bare(F.col("c_text")), "n": F.length("c_core"), "nq": F.length("c_q")})
+    return d
+
+
+def _measured(d: DataFrame) -> DataFrame:
+    """The rest of ``prepared``, which needs ``_far``: the edit distance where the question is LONG, else null."""
+    nq, n = F.col("nq"), F.col("n")
+    near = (n <= nq * 3 / 2 + 8) & (nq >= 6)
+    d = d.withColumns({
+        "rest": F.when(nq >= 4, F.replace("c_led", "c_q", F.lit(""))).otherwise(F.col("c_led")),
+        "led": F.length("c_led"),
+        "distance": F.when(near & (nq <= LONG), F.levenshtein("c_led", "c_q")).when(near, F.col("_far")).otherwise(nq + 99),
+        "c_body": F.when(nq >= 4, F.replace("c_text", "c_question", F.lit(""))).otherwise(F.col("c_text")),
+    })
+    # a quoted question in front of an answer is no part of it; the quotation is about as long as the question
+    d = d.withColumn("c_quote", F.when(F.contains("c_core", F.col("c_q")) & (nq >= 6), F.regexp_extract("c_body", r"(?s)^(.*?[”\"][：:。.,，]?\s*)", 1)))
+    within = F.length("c_quote") <= 2 * F.length("c_question") + 200
+    d = d.withColumn("c_body", F.when(F.col("c_quote").isNull(), F.col("c_a")).when(within, F.substring("c_body", F.length("c_quote") + 1, F.length("c_body"))).otherwise(F.col("c_body")))
+    d = d.withColumn("c_sentences", F.filter(F.split("c_body", r"(?<=[。！？])|\n|(?<=[.?!])\s"), lambda s: F.length(_bare(s)) > 1))
+    d = d.withColumn("c_said", F.transform("c_sentences", lambda s: F.struct(s.rlike(DECLINE).alias("declines"), s.rlike(COURTESY).alias("courtesy"), s.rlike(PARTLY).alias("partly"))))
+    opening = F.get("c_sentences", F.lit(0))
+    d = d.withColumns({"sentences": F.size("c_said"), "opener": F.get("c_said", F.lit(0)), "greets": F.coalesce(opening.rlike(GREETING), F.lit(False)), "greets_at_all": F.col("c_body").rlike(GREETING)})
+    asked_for = F.regexp_replace("c_question", r"(?i)(reply|answer) in (english|chinese),?( please)?\.?|（?请?用(中文|英文)(回答|作答)。?）?|（答案用.语给出）", "")
+    d = d.withColumns(_counts(asked_for, "q") | _counts(F.col("c_a"), "a"))
+    d = d.withColumns({"lang_q": _language("q"), "lang_a": _language("a"), "letters": F.length(F.regexp_replace("c_a", r"[^\p{L}]", "")), "small": F.regexp_count("c_a", F.lit(r"\p{Ll}{2,}|[\x{ac00}-\x{d7a3}\x{3041}-\x{30ff}\x{0400}-\x{04ff}]")), "c_end": F.regexp_replace("c_a", r"[*`_\s]+$", "")})
+    q = F.col("c_question")
+    return d.withColumns({
+        "asked": (q.rlike(ASKS_ENGLISH) & (F.col("lang_a") == "en")) | (q.rlike(ASKS_CHINESE) & (F.col("lang_a") == "zh")),
+        "placeholder": F.col("c_core").isin(*PLACEHOLDER),
+        "terminal": F.col("c_a").rlike(TERMINAL),
+        "dangling": F.col("c_end").rlike(DANGLING),
+        "single": ~F.col("c_end").rlike(r"[。！？!?\n]|\.\s"),
+        "value": F.regexp_extract("c_a", r"(?s)([^\n]*)$", 1).rlike(r"^[\-*•·\s]*[^，。,：:]{1,10}[：:]\s*[^，。]{1,40}$") & F.contains("c_a", F.lit("\n")),
+    })
+
+
+def labelling_functions() -> dict[str, dict[str, Column]]:
+    """The votes for each defect, over the columns of ``prepared`` and those of ``sentence_ends`` (whole, begins)."""
+    c = F.col
+    n, nq, led, rest, distance = c("n"), c("nq"), c("led"), F.length("rest"), c("distance")
+    has, size = n > 0, c("sentences")
+    starts_so = (led * 2 >= nq) & (nq >= 6) & F.startswith("c_q", c("c_led"))
+    declines = F.exists("c_said", lambda s: s["declines"] & ~s["partly"])
+    all_idle = (size > 0) & ~F.exists("c_said", lambda s: ~s["declines"] & ~s["courtesy"])
+    opens = F.coalesce(c("opener")["declines"], F.lit(False))
+    lang_q, lang_a, asked = c("lang_q"), c("lang_a"), c("asked")
+    differ, same = (lang_a != lang_q) & ~asked & ~c("placeholder"), (lang_a == lang_q) | asked
+    han_share = F.try_divide(c("a_han").cast("double"), c("letters"))
+    foreign = c("a_ko") + c("a_ja") + c("a_ru") + c("a_accent")
+    whole, known, single, value, terminal = c("whole"), c("begins"), c("single"), c("value"), c("terminal")
     unfinished = has & ~terminal
-    value = F.regexp_extract(a, r"(?s)([^\n]*)$", 1).rlike(r"^[\-*•·\s]*[^，。,：:]{1,10}[：:]\s*[^，。]{1,40}$") & F.contains(a, F.lit("\n"))
     return {
         "empty": {
             "nothing": _vote(~has, n >= 5),
-            "placeholder": _vote(core.isin(*PLACEHOLDER) | ~has, has & ~core.isin(*PLACEHOLDER)),
+            "placeholder": _vote(c("placeholder") | ~has, has & ~c("placeholder")),
             "short": _vote(n <= 1, n >= 5),
         },
         "copy": {
-            "remainder": _vote(has & (F.length(rest) * 8 <= nq) & (F.length(core_led) * 2 >= nq), (F.length(rest) > 10) & (distance * 2 > nq)),
-            "edit": _vote(has & ((distance * 5 <= nq) | begins), distance * 2 > nq),
-            "whole": _vote(has & ((core_led == core_q) | (rest == "") | begins), (core_led != core_q) & (F.length(rest) > 4) & ~begins & (distance * 2 > nq)),
+            "remainder": _vote(has & (rest * 8 <= nq) & (led * 2 >= nq), (rest > 10) & (distance * 2 > nq)),
+            "edit": _vote(has & ((distance * 5 <= nq) | starts_so), distance * 2 > nq),
+            "whole": _vote(has & ((c("c_led") == c("c_q")) | (c("rest") == "") | starts_so), (c("c_led") != c("c_q")) & (rest > 4) & ~starts_so & (distance * 2 > nq)),
         },
         "language": {
             "script": _vote(differ, same),
-            "letters": _vote((((lang_q == "zh") & (han_share < 0.05) & (F.regexp_count(a, F.lit(r"\p{Ll}{2,}|[\x{ac00}-\x{d7a3}\x{3041}-\x{30ff}\x{0400}-\x{04ff}]")) >= 3)) | ((lang_q == "en") & (han_share > 0.3))) & ~asked, asked | ((lang_q == "zh") & (han_share > 0.2)) | ((lang_q == "en") & (han_share == 0) & (foreign == 0))),
+            "letters": _vote((((lang_q == "zh") & (han_share < 0.05) & (c("small") >= 3)) | ((lang_q == "en") & (han_share > 0.3))) & ~asked, asked | ((lang_q == "zh") & (han_share > 0.2)) | ((lang_q == "en") & (han_share == 0) & (foreign == 0))),
             "foreign": _vote((foreign >= 1) & differ, (foreign == 0) & same),
         },
         "refusal": {
             "phrase": _vote(declines, ~declines & has),
-            "opening": _vote(opener.rlike(DECLINE) & ~opener.rlike(PARTLY), (F.size(sentences) > 0) & ~opener.rlike(DECLINE)),
-            "nothing_else": _vote(all_idle & declines, ~all_idle & (F.size(sentences) > 0)),
-            "greeting": _vote(opener.rlike(GREETING) & declines, ~body.rlike(GREETING) & (n > 120)),
+            "opening": _vote(opens & ~c("opener")["partly"], (size > 0) & ~opens),
+            "nothing_else": _vote(all_idle & declines, ~all_idle & (size > 0)),
+            "greeting": _vote(c("greets") & declines, ~c("greets_at_all") & (n > 120)),
         },
         "truncated": {
-            "dangling": _vote(has & dangling, F.lit(False)),
+            "dangling": _vote(has & c("dangling"), F.lit(False)),
             "terminal": _vote(has & ~terminal, terminal | ~has),
             "ending": _vote(unfinished & (whole < 0.4) & (known | ~single), ~terminal & (whole >= 0.4)),
-            "start": _vote(unfinished & (known | ~single) & ~(F.coalesce(whole, F.lit(0.0)) >= 0.4) & ~value, ~terminal & ((single & ~known) | value) & ~dangling),
+            # a single piece that begins as no sentence does is a bare value, such as a name, a number or a date
+            "start": _vote(unfinished & (known | ~single) & ~(F.coalesce(whole, F.lit(0.0)) >= 0.4) & ~value, ~terminal & ((single & ~known) | value) & ~c("dangling")),
         },
     }
 
@@ -303,8 +365,8 @@ def label_pairs(df: DataFrame, id_col: str, question: str, answer: str, scratch:
     hash of the id, and cutoffs validated on the rest; the result covers all pairs. Pairs are one for each id:
     repeats count once, by the greatest row; null ids are left out. A null
     question is empty: such a pair can lack an answer or break off, but
-    copy and language have nothing to compare with. An empty table gives an
-    empty result.
+    copy and language have nothing to compare with. Texts of any length are compared
+    whole. An empty table gives an empty result.
     """
     spark = df.sparkSession
     one = df.select(F.col(id_col).alias("id"), F.col(question).alias("q"), F.col(answer).alias("a")).where("id is not null")
@@ -312,9 +374,16 @@ def label_pairs(df: DataFrame, id_col: str, question: str, answer: str, scratch:
     trimmed = F.regexp_replace(F.regexp_replace(F.col("r.a"), r"\p{Cf}+", ""), r"[\s\p{Z}*`_]+$", "")
     rows = scratch.cut(one.select(F.xxhash64("id").alias("_key"), "id", F.col("r.q").alias("q"), F.col("r.a").alias("a"), normal(trimmed).alias("_norm"), (~F.regexp_replace(trimmed, CITATION, "").rlike(TERMINAL)).alias("_open")), "pairs")
     ends = sentence_ends(rows, scratch)
-    full = rows.join(ends, "_key", "left").withColumn("begins", F.coalesce("begins", F.lit(False)))
-    votes = labelling_functions(F.col("q"), F.col("a"))
-    voted = scratch.cut(full.select("id", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) == 0).alias("held"), *[F.array(*v.values()).alias(d) for d, v in votes.items()]), "votes")
+    full = prepared(rows.join(ends, "_key", "left").withColumn("begins", F.coalesce("begins", F.lit(False))), F.col("q"), F.col("a"))
+    long_ones = rows.where(F.length("q") > LONG)
+    if long_ones.isEmpty():
+        full = full.withColumn("_far", F.lit(None).cast("int"))
+    else:
+        far = prepared(long_ones, F.col("q"), F.col("a")).where((F.col("nq") > LONG) & (F.col("n") <= F.col("nq") * 3 / 2 + 8))
+        full = full.join(scratch.cut(far.select("_key", "c_led", "c_q").mapInPandas(_far, "_key long, _far int"), "far"), "_key", "left")
+    votes = labelling_functions()
+    voted = _measured(full).select("id", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) == 0).alias("held"), *[F.array(*v.values()).alias(d) for d, v in votes.items()])
+    voted = scratch.cut(voted, "votes")
     long = voted.select("id", "held", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).alias("v")) for d in votes])).alias("x")).select("id", "held", "x.d", "x.v")
     counts = long.groupBy("held", "d", "v").agg(F.count("*").alias("n")).collect()  # at most 3 ** functions rows for a defect
     table = []
@@ -328,7 +397,7 @@ def label_pairs(df: DataFrame, id_col: str, question: str, answer: str, scratch:
         at = cutoff(posterior, held)
         table += [(d, list(k), float(p)) for k, p in posterior.items() if p >= at]
     won = spark.createDataFrame(table, "d string, v array<int>, p double")
-    hits = long.drop("held").join(F.broadcast(won), ["d", "v"])  # a few dozen patterns
+    hits = long.drop("held").join(F.broadcast(won), ["d", "v"])  # at most 3 ** functions patterns of a defect
     order = F.element_at(F.create_map(*[F.lit(x) for i, d in enumerate(DEFECTS) for x in (d, -i)]), F.col("d"))
     per = hits.groupBy("id").agg(F.collect_list(F.struct(F.round("p", 6).alias("p"), order.alias("o"), F.col("d").alias("defect"), F.col("p").alias("posterior"))).alias("all"))  # at most five
     out = per.select("id", F.array_max("all")["defect"].alias("_main"), F.explode("all").alias("x"))

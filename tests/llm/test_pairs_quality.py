@@ -140,11 +140,48 @@ def votes_of_fixed_pairs(spark, times):
     rows += [(-1, "Quakor", "Quakor", True), (-2, "从文档看，地址只能在出", "从文档看，地址只能在出", True)]
     df = spark.createDataFrame(rows, "_key long, a string, _norm string, _open boolean")
     ends = A.sentence_ends(df, Scratch(spark, "t"))
-    votes = A.labelling_functions(F.lit("由哪个品牌负责维修？"), F.col("a"))["truncated"]
-    return {r["_key"]: tuple(r[1:]) for r in df.where("_open").join(ends, "_key").select("_key", *[c.alias(n) for n, c in votes.items()]).collect()}
+    votes = A.labelling_functions()["truncated"]
+    open_ = A._measured(A.prepared(df.where("_open").join(ends, "_key"), F.lit("由哪个品牌负责维修？"), F.col("a")).withColumn("_far", F.lit(None).cast("int")))
+    return {r["_key"]: tuple(r[1:]) for r in open_.select("_key", *[c.alias(n) for n, c in votes.items()]).collect()}
 
 
 def test_votes_do_not_change_with_the_size_of_the_table(spark):
     small, large = votes_of_fixed_pairs(spark, 1), votes_of_fixed_pairs(spark, 10)
     assert small == large
     assert large[-1][3] == -1 and large[-2][3] == 1
+
+
+def test_edit_distance_equals_the_table():
+    import random
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(r.choices("甲乙丙", k=r.randrange(90))) for _ in range(2))
+        assert A.edit_distance(a, b) == table(a, b)
+
+
+def test_edited_copies_are_found_at_every_length(spark):
+    import random
+
+    r = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(900)]
+    rows, want = [], {}
+    for n in (300, 1990, 2010, 2500, 30_000):
+        for i in range(8):
+            q = "".join(r.choices(letters, k=n)) + "？"
+            x = list(q)
+            for at in r.sample(range(n), n // 20):
+                x[at] = r.choice(letters)
+            rows += [(f"c{n}-{i}", q, "".join(x)), (f"s{n}-{i}", q, "".join(r.choices(letters, k=n)) + "。")]
+            want |= {f"c{n}-{i}": "copy", f"s{n}-{i}": None}
+    rows += [(f"x{i:04d}", ASK.format(i), SOUND.format(i % 9 + 1, i % 10)) for i in range(300)] + [(f"y{i}", ASK.format(i), ASK.format(i)) for i in range(12)]
+    got = {x.id: x.defect for x in A.label_pairs(spark.createDataFrame(rows, "id string, q string, a string"), "id", "q", "a", Scratch(spark, "t")).where("main").collect()}
+    assert {k: got.get(k) for k in want} == want
