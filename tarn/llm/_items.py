@@ -2,55 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chinese names of item types and difficulties (fixed values).
-TYPE_NAMES = {"事实": "factual", "多跳": "multi_hop", "口语": "colloquial", "库外": "out_of_scope", "对抗": "adversarial"}
-DIFFICULTY_NAMES = {"简单": "easy", "中等": "medium", "困难": "hard"}
-SENTINEL = "库外语料"
-
-_FULL = "".join(chr(0xFF01 + i) for i in range(94))
-_HALF = "".join(chr(0x21 + i) for i in range(94))
-_EDGE = r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$"
-
-
-def half_width(c: Column) -> Column:
-    """Full-width letters, digits and marks as their ASCII counterparts."""
-    return F.translate(c, _FULL, _HALF)
-
-
-def trimmed(c: Column) -> Column:
-    """Without blanks and invisible characters at either end; null when nothing is left."""
-    t = F.regexp_replace(c, _EDGE, "")
-    return F.when(t != "", t)
-
-
-def word(c: Column, names: dict[str, str] | None = None) -> Column:
-    """A category in its plain spelling: lower case, underscores, Chinese names translated."""
-    t = F.regexp_replace(F.lower(trimmed(half_width(c))), r"[\s\-_]+", "_")
-    if names:
-        t = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), t), t)
-    return t
-
-
-def split_name(c: Column) -> Column:
-    """A split in its plain spelling, without separators (``hold-out`` is ``holdout``)."""
-    t = F.regexp_replace(F.lower(half_width(c)), r"[^a-z0-9\x{4e00}-\x{9fff}]+", "")
-    return F.when(t != "", t)
-
-
-def document_id(c: Column) -> Column:
-    """A document id in its plain spelling; null for the out-of-scope sentinel and for blanks.
-
-    Folder and file ending are taken off; the letter case of the whole id is
-    kept as the key does not depend on it: ids are compared in lower case.
-    """
-    t = F.lower(trimmed(half_width(c)))
-    t = F.regexp_replace(t, r"^.*[/\\]", "")
-    t = F.regexp_replace(t, r"\.(txt|pdf|md|json|html?)$", "")
-    t = F.regexp_replace(t, r"[\s\-]+", "_")
-    return F.when((t != "") & ~t.contains(SENTINEL), t)
+from tarn.functions.spelling import DIFFICULTY_NAMES, SENTINEL, TYPE_NAMES, document_id, half_width, split_name, trimmed, word  # noqa: F401
 
 
 def once(df: DataFrame, key: str, *columns: str, latest: str | None = None) -> DataFrame:

@@ -31,23 +31,35 @@ def votes(spark: SparkSession, sf: str) -> DataFrame:
     return holding_labels(of_c.union(of_j).select("id", "criterion", "r.*"), ["id", "criterion"])
 
 
-def _discovered(spark: SparkSession, sf: str):
+def _discovered(spark: SparkSession, sf: str, scratch: Scratch):
     from tarn.llm.consensus import discover
 
-    return discover(votes(spark, sf), ["id", "criterion"], Scratch(spark, "p3"))
+    return discover(votes(spark, sf), ["id", "criterion"], scratch)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    items, _ = _discovered(spark, sf)
-    return items.where("label = 'fail'").select("id", "criterion")
+    scratch = Scratch(spark, "p3")
+    items, _ = _discovered(spark, sf, scratch)
+    return scratch.finish(items.where("label = 'fail'").select("id", "criterion"))
 
 
 def p3_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return _discovered(spark, sf)[0]
+    scratch = Scratch(spark, "p3")
+    return scratch.finish(_discovered(spark, sf, scratch)[0])
 
 
 def p3_reliability(spark: SparkSession, sf: str) -> DataFrame:
-    return _discovered(spark, sf)[1]
+    scratch = Scratch(spark, "p3")
+    return scratch.finish(_discovered(spark, sf, scratch)[1])
+
+
+def p3_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with labels, their labels, items whose labellers all agree, and how many of these have another consensus."""
+    c = p3_consensus(spark, sf)
+    v = votes(spark, sf).groupBy("id", "criterion").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    j = v.join(c, ["id", "criterion"], "left")
+    same = F.col("lo") == F.col("hi")
+    return j.agg(F.count("label").alias("items"), F.sum("labels").alias("labels"), F.count_if(same).alias("agreed"), F.count_if(same & (F.coalesce("label", F.lit("")) != F.col("lo"))).alias("against"))
 
 
 def p3_agreement(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,10 +71,9 @@ def p3_agreement(spark: SparkSession, sf: str) -> DataFrame:
 # --- 4: splits ------------------------------------------------------------------------------
 
 
-def _grouped(spark: SparkSession, sf: str) -> DataFrame:
+def _grouped(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
     from tarn.llm.splits import related_groups
 
-    scratch = Scratch(spark, "p4")
     b = _read(spark, sf, "business_v1").select("id", "split", "supporting_docs")
     plain = F.array_compact(F.transform("supporting_docs", I.document_id))
     rows = scratch.cut(b.where("id is not null").select("id", I.split_name(F.col("split")).alias("split"), plain.alias("docs")), "rows")
@@ -73,19 +84,34 @@ def _grouped(spark: SparkSession, sf: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from tarn.llm.splits import torn_groups
 
-    return torn_groups(_grouped(spark, sf)).select("id")
+    scratch = Scratch(spark, "p4")
+    return scratch.finish(torn_groups(_grouped(spark, sf, scratch)).select("id"))
 
 
-def p4_assignment(spark: SparkSession, sf: str) -> DataFrame:
+def _assigned(spark: SparkSession, sf: str, which: int) -> DataFrame:
     from tarn.llm.splits import assign_splits
 
-    return assign_splits(_grouped(spark, sf), _read(spark, sf, "split_targets"))[0]
+    scratch = Scratch(spark, "p4")
+    return scratch.finish(assign_splits(_grouped(spark, sf, scratch), _read(spark, sf, "split_targets"))[which])
+
+
+def p4_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf, 0)
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
-    from tarn.llm.splits import assign_splits
+    return _assigned(spark, sf, 1)
+
 
-    return assign_splits(_grouped(spark, sf), _read(spark, sf, "split_targets"))[1]
+def p4_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and groups of the assignment, groups in two splits, and whether each split has its share to within a hundredth."""
+    a = p4_assignment(spark, sf)
+    per = a.groupBy("group").agg(F.count("*").alias("n"), F.count_distinct("new_split").alias("k")).agg(F.sum("n").alias("items"), F.count("*").alias("groups"), F.count_if(F.col("k") > 1).alias("torn"))
+    got = a.groupBy(F.col("new_split").alias("split_name")).agg(F.count("*").alias("rows"))
+    off = _read(spark, sf, "split_targets").join(got, "split_name", "left").select("share", F.coalesce("rows", F.lit(0)).alias("rows"))
+    shares = off.agg(F.collect_list("share").alias("s"), F.collect_list("rows").alias("r"), F.sum("rows").alias("t"))  # a row for each split
+    ok = shares.select(F.forall(F.zip_with("s", F.transform("r", lambda x: x / F.col("t")), lambda x, y: F.abs(x - y) <= 0.01), lambda x: x).alias("reached"))
+    return per.crossJoin(ok)  # one row each
 
 
 # --- 5: samples -----------------------------------------------------------------------------
@@ -124,6 +150,24 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return report(dealt, draw(items, "id", _KEYS, dealt), _KEYS)
 
 
+def p5_shortfalls(spark: SparkSession, sf: str) -> DataFrame:
+    d = _dealt(spark, sf)[1]
+    return d.select("plan_id", *_KEYS, "available", F.round("needed", 6).alias("needed"), F.round("shortfall", 6).alias("shortfall"))
+
+
+def p5_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of each plan's sample; categories below their minimum though there are items; items drawn twice; items of a category other than planned."""
+    from tarn.llm.sampling import draw
+
+    items, dealt = _dealt(spark, sf)
+    drawn = draw(items, "id", _KEYS, dealt)
+    n = drawn.groupBy("plan_id", *_KEYS).agg(F.count("*").alias("k"), (F.count("*") - F.count_distinct("id")).alias("twice"))
+    real = drawn.join(items.select("id", F.col("type").alias("_t"), F.col("difficulty").alias("_d")), "id").where("type <> _t or difficulty <> _d").groupBy("plan_id").agg(F.count("*").alias("other"))
+    j = dealt.join(n, ["plan_id", *_KEYS], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    g = j.groupBy("plan_id").agg(F.sum("k").cast("long").alias("drawn"), F.count_if(F.col("k") < F.least("min_rows", "available")).alias("below_minimum"), F.sum(F.coalesce("twice", F.lit(0))).cast("long").alias("twice"))
+    return g.join(real, "plan_id", "left").select("plan_id", "drawn", "below_minimum", "twice", F.coalesce("other", F.lit(0).cast("long")).alias("of_other_categories"))
+
+
 # --- 1: pairs -------------------------------------------------------------------------------
 
 
@@ -131,7 +175,8 @@ def p1_labels(spark: SparkSession, sf: str) -> DataFrame:
     from tarn.llm.pairs import label_pairs
 
     pairs = _read(spark, sf, "spotcheck_20261013_003").select("case_id", "question", "answer")
-    return label_pairs(pairs, "case_id", "question", "answer", Scratch(spark, "p1")).withColumnRenamed("id", "case_id")
+    scratch = Scratch(spark, "p1")
+    return scratch.finish(label_pairs(pairs, "case_id", "question", "answer", scratch).withColumnRenamed("id", "case_id"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,23 +186,25 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 # --- 2: near-duplicates ---------------------------------------------------------------------
 
 
-def _near(spark: SparkSession, sf: str, exact: bool = False):
+def _near(spark: SparkSession, sf: str, scratch: Scratch, exact: bool = False):
     from tarn.llm.neardup import near_duplicates
 
     b = _read(spark, sf, "business_v1").select("id", "question", "ground_truth", "loaded_at")
     b = I.once(b, "id", "question", "ground_truth", latest="loaded_at")
-    return near_duplicates(b, "id", ["question", "ground_truth"], Scratch(spark, "p2"), exact)
+    return near_duplicates(b, "id", ["question", "ground_truth"], scratch, exact)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     from tarn.llm.neardup import class_pairs
 
-    return class_pairs(_near(spark, sf)[0])
+    scratch = Scratch(spark, "p2")
+    return scratch.finish(class_pairs(_near(spark, sf, scratch)[0]))
 
 
 def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Classes with every link, those that the anchors leave to the prefix filter too."""
-    return _near(spark, sf, exact=True)[0]
+    scratch = Scratch(spark, "p2")
+    return scratch.finish(_near(spark, sf, scratch, exact=True)[0])
 
 
 # --- 6: windows -----------------------------------------------------------------------------
@@ -171,59 +218,91 @@ def _sized(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
     return scratch.cut(text_sizes(d, "text", ["doc_id", "source", "cluster"]), "sizes")
 
 
-def _packed(spark: SparkSession, sf: str) -> DataFrame:
+def _packed(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
     from tarn.llm.packing import pack
 
-    scratch = Scratch(spark, "p6")
     return pack(_sized(spark, sf, scratch), _read(spark, sf, "pack_specs"), scratch)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf).where("pieces > 1 and piece = 0").select("spec", "doc_id")
+    scratch = Scratch(spark, "p6")
+    return scratch.finish(_packed(spark, sf, scratch).where("pieces > 1 and piece = 0").select("spec", "doc_id"))
 
 
 def p6_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(spark, sf)
+    scratch = Scratch(spark, "p6")
+    return scratch.finish(_packed(spark, sf, scratch))
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     from tarn.llm.packing import pack_report
 
-    return pack_report(_packed(spark, sf))
+    scratch = Scratch(spark, "p6")
+    return scratch.finish(pack_report(_packed(spark, sf, scratch), per_source=8))
+
+
+def p6_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens and pieces of each spec's windows; windows over capacity; texts with a token left out or twice; windows with two copies of a text."""
+    scratch = Scratch(spark, "p6")
+    w = scratch.cut(_packed(spark, sf, scratch), "windows")
+    copies = _read(spark, sf, "documents").select("doc_id", F.md5(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "")).alias("copy"))
+    per = w.groupBy("spec", "capacity", "window").agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces"))
+    total = per.groupBy("spec").agg(F.sum("t").cast("long").alias("tokens"), F.sum("pieces").cast("long").alias("pieces"), F.count_if(F.col("t") > F.col("capacity")).alias("over"))
+    parts = w.groupBy("spec", "doc_id").agg(F.count("*").alias("k"), F.max("pieces").alias("n"), F.count_distinct("start").alias("s"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.sum("tokens").alias("t"))
+    gaps = parts.groupBy("spec").agg(F.count_if((F.col("k") != F.col("n")) | (F.col("s") != F.col("k")) | (F.col("end") != F.col("t"))).alias("gaps"))
+    twins = w.select("spec", "window", "doc_id").distinct().join(copies, "doc_id").groupBy("spec", "window", "copy").agg(F.count("*").alias("k")).groupBy("spec").agg(F.count_if(F.col("k") > 1).alias("copies_together"))
+    return scratch.finish(total.join(gaps, "spec").join(twins, "spec"))
 
 
 # --- 7: mixes -------------------------------------------------------------------------------
 
 
-def _planned(spark: SparkSession, sf: str, mode: str) -> tuple[DataFrame, DataFrame]:
+def _planned(spark: SparkSession, sf: str, mode: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     from tarn.llm.mixing import plan_mixes
 
-    docs = _sized(spark, sf, Scratch(spark, "p7")).select("doc_id", "source", F.col("size").alias("tokens"))
+    docs = _sized(spark, sf, scratch).select("doc_id", "source", F.col("size").alias("tokens"))
     return docs, plan_mixes(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), _read(spark, sf, "mix_targets"), mode)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _planned(spark, sf, "given")[1].where("short > 0").select("mix_id", "source")
+    scratch = Scratch(spark, "p7")
+    return scratch.finish(_planned(spark, sf, "given", scratch)[1].where("short > 0").select("mix_id", "source"))
 
 
 def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
     from tarn.llm.mixing import realise
 
-    return realise(*_planned(spark, sf, "given"))
+    scratch = Scratch(spark, "p7")
+    return scratch.finish(realise(*_planned(spark, sf, "given", scratch)))
 
 
-def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+def _mixed(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     from tarn.llm.mixing import mix_report, realise
 
-    docs, planned = _planned(spark, sf, "given")
-    return mix_report(planned, realise(docs, planned))
+    scratch = Scratch(spark, "p7")
+    docs, planned = _planned(spark, sf, mode, scratch)
+    return scratch.finish(mix_report(planned, realise(docs, planned)))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf, "given")
 
 
 def p7_temperature(spark: SparkSession, sf: str) -> DataFrame:
-    from tarn.llm.mixing import mix_report, realise
+    return _mixed(spark, sf, "temperature")
+
 
-    docs, planned = _planned(spark, sf, "temperature")
-    return mix_report(planned, realise(docs, planned))
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Budget of each source of a mix, documents used more often than allowed, and whether the budget is reached to within half of the source's longest text."""
+    from tarn.llm.mixing import realise
+
+    scratch = Scratch(spark, "p7")
+    docs, planned = _planned(spark, sf, "given", scratch)
+    got = realise(docs, planned).groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"), F.max("uses").alias("most"), F.collect_set("uses").alias("all"))
+    longest = docs.groupBy("source").agg(F.max("tokens").alias("longest"))
+    j = planned.drop("tokens").join(got, ["mix_id", "source"], "left").join(longest, "source", "left")
+    ok = F.abs(F.coalesce("used", F.lit(0)) - F.col("budget")) <= F.coalesce("longest", F.lit(0)) / 2 + 1
+    return scratch.finish(j.select("mix_id", "source", F.round("budget", 3).alias("budget"), (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).cast("long").alias("too_often"), ok.alias("reached")))
 
 
 # --- 8: text quality ------------------------------------------------------------------------
@@ -240,4 +319,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_statistics(spark, sf).where("kind is not null").select("doc_id", "kind")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_classes, p3_found, p3_consensus, p3_reliability, p3_agreement, p4_found, p4_assignment, p4_report, p5_found, p5_sample, p5_report, p6_found, p6_windows, p6_report, p7_found, p7_selection, p7_report, p7_temperature, p8_found, p8_statistics)}
+def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_statistics(spark, sf).select("doc_id", "n_words")
+
+
+_ALL = (
+    p1_found, p1_labels, p2_found, p2_classes, p3_found, p3_consensus, p3_reliability, p3_agreement, p3_checks, p4_found, p4_assignment, p4_report, p4_checks, p5_found, p5_sample, p5_report, p5_shortfalls, p5_checks,
+    p6_found, p6_windows, p6_report, p6_checks, p7_found, p7_selection, p7_report, p7_temperature, p7_checks, p8_found, p8_statistics, p8_counts,
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm._items import half_width, trimmed
-from tarn.storage import Scratch
+from tarn.storage import Scratch, shared_dir
 
 #: Spellings of the two verdicts (fixed values); anything else is undecided and does not count.
 PASS = ("pass", "passed", "通过", "合格")
 FAIL = ("fail", "failed", "不通过", "不合格")
 
-#: Labellers up to this many are joined by broadcast (about 50 bytes each), more by a shuffle.
+#: Labellers up to this many are joined by broadcast (about 50 bytes each), more by a shuffle; the result is the same.
 BROADCAST_LABELLERS = 200_000
+#: Votes of one item in a task; an item with more is dealt to several.
+VOTES_A_TASK = 100_000
 
 
 def verdict(c: Column) -> Column:
@@ -56,11 +58,11 @@ def chi2_quantile(q: float, n: int) -> float:
                 break
         return 1 - h * math.exp(a * math.log(x) - x - math.lgamma(a))
 
-    z = -1.959963984540054 if q < 0.5 else 1.959963984540054
-    guess = n * max(1e-6, 1 - 2 / (9 * n) + z * math.sqrt(2 / (9 * n))) ** 3
-    if n > 5000:  # there the cube-root approximation is exact to five digits; it is made for q of 0.025 and 0.975
-        return guess
-    lo, hi = 0.0, max(guess * 4, n + 20.0)
+    z = NormalDist().inv_cdf(q)
+    if n > 1000:  # the expansion in powers of 1 / sqrt(n) is exact to nine digits there
+        r = math.sqrt(2 * n)
+        return n + z * r + 2 / 3 * (z**2 - 1) + (z**3 - 7 * z) / (9 * r) - (6 * z**4 + 14 * z**2 - 32) / (405 * n) + (9 * z**5 + 256 * z**3 - 433 * z) / (4860 * r * n)
+    lo, hi = 0.0, max(4 * n * max(1e-6, 1 - 2 / (9 * n) + z * math.sqrt(2 / (9 * n))) ** 3, n + 20.0)
     for _ in range(200):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if cdf(mid) < q else (lo, mid)
@@ -79,7 +81,7 @@ def holding_labels(labels: DataFrame, item: Sequence[str], labeller: str = "labe
     return kept.groupBy(*item, labeller).agg(F.max(F.struct(F.col(at), F.col(label))).alias("_m")).select(*item, F.col(labeller).alias("labeller"), F.col("_m")[label].alias("label"))
 
 
-def discover(votes: DataFrame, item: Sequence[str], scratch: Scratch, level: float = 0.05, max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+def discover(votes: DataFrame, item: Sequence[str], scratch: Scratch, level: float = 0.05, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
     """Consensus labels and labeller reliability, by alternating two steps until no label changes.
 
     ``votes`` has the item columns, labeller and label, one row for each
@@ -104,14 +106,25 @@ def discover(votes: DataFrame, item: Sequence[str], scratch: Scratch, level: flo
     Returns (items, labellers): items with the item columns, label, labels,
     agreement (share of labellers with the consensus) and support (their share
     of the weight); labellers with labeller, labels, errors, accuracy,
-    variance_bound and weight. Empty votes give empty tables. Votes stay
-    partitioned by item over all rounds; only one row for each labeller moves
-    in a round, aggregated within each task first.
+    variance_bound, weight, and settled: false if labels still changed after
+    ``max_rounds``, or came back to an earlier state in turns (the state with the fewest errors of a turn is
+    then kept). Empty votes give empty tables. Votes are written once, partitioned by item, with what an item
+    has beyond VOTES_A_TASK dealt to further parts; in a round only sums by item and one row for each labeller move.
     """
     spark = votes.sparkSession
     item = list(item)
     v = scratch.cut(votes.select(*item, "labeller", "label"), "votes")
-    stored = v.repartition(*item).persist(StorageLevel.MEMORY_AND_DISK)
+    crowded = v.groupBy(*item).agg(F.count("*").alias("_k")).where(F.col("_k") > VOTES_A_TASK).select(*item, F.ceil(F.col("_k") / VOTES_A_TASK).cast("int").alias("_parts"))
+    crowded = scratch.cut(crowded, "crowded")
+    salted = not crowded.isEmpty()
+    part = item
+    if salted:
+        part = [*item, "_part"]
+        v = v.join(crowded, item, "left").withColumn("_part", F.pmod(F.xxhash64("labeller"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    # a checkpoint in the shared folder keeps the partitioning by item, which a written table would lose
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    stored = v.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *part).checkpoint()
     counts = stored.groupBy("labeller").agg(F.count("*").alias("n"))
     # degrees of freedom differ between labellers only by their count: one row for each count
     ns = [r.n for r in counts.select("n").distinct().collect()] if counts.limit(BROADCAST_LABELLERS + 1).count() <= BROADCAST_LABELLERS else None
@@ -128,14 +141,19 @@ def discover(votes: DataFrame, item: Sequence[str], scratch: Scratch, level: flo
 
     def truth(weighted: DataFrame) -> DataFrame:
         """The winning label of each item with its weight and the next label's."""
-        each = weighted.groupBy(*item, "label").agg(F.sum("_w").alias("_sw"), F.count("*").alias("_c"))
+        each = weighted.groupBy(*part, "label").agg(F.sum("_w").alias("_sw"), F.count("*").alias("_c"))
+        if salted:
+            each = each.groupBy(*item, "label").agg(F.sum("_sw").alias("_sw"), F.sum("_c").alias("_c"))
         # labels are few for an item; least of negatives: greatest weight, then count, then first label
         top = F.array_sort(F.collect_list(F.struct((-F.round("_sw", 9)).alias("w"), (-F.col("_c")).alias("c"), F.col("label").alias("label"))))
         t = each.groupBy(*item).agg(top.alias("_top"))
+        if salted:  # one row for each part of an item
+            t = t.join(F.broadcast(crowded), item, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+            return t.select(*part, F.get("_top", F.lit(0))["label"].alias("_truth"), "_top")
         return t.select(*item, F.get("_top", F.lit(0))["label"].alias("_truth"), "_top")
 
     def weigh(weighted: DataFrame) -> DataFrame:
-        rows = weighted.join(truth(weighted), item)
+        rows = weighted.join(truth(weighted), part)
         mine = F.element_at(F.filter("_top", lambda x: x["label"] == F.col("label")), 1)["w"]  # a negative
         other = F.coalesce(F.array_min(F.transform(F.filter("_top", lambda x: x["label"] != F.col("label")), lambda x: x["w"])), F.lit(0.0))
         rest = F.least(F.round(mine + F.col("_w"), 6), F.lit(0.0))  # the others' weight for the own label
@@ -155,23 +173,25 @@ def discover(votes: DataFrame, item: Sequence[str], scratch: Scratch, level: flo
 
     keep = lambda x: scratch.cut(x.coalesce(1) if small else x, "weights")
     w = keep(weigh(stored.withColumn("_w", F.lit(1.0))))
-    last = None
+    seen: dict[tuple, int] = {}
+    states, settled = [w], False
     for _ in range(max_rounds):
-        new = keep(weigh(weighted()))
-        scratch.drop(w)
-        w = new
-        mark = w.agg(F.sum("errors"), F.bit_xor(F.xxhash64("labeller", "errors"))).first()
-        if mark == last:
+        w = keep(weigh(weighted()))
+        mark = tuple(w.agg(F.sum("errors"), F.bit_xor(F.xxhash64("labeller", "errors"))).first())
+        settled = seen.get(mark) == len(states) - 1
+        if mark in seen:
+            turn = states[seen[mark] :] + [w]
+            w = w if settled else min(turn[1:], key=lambda x: x.agg(F.sum("errors")).first()[0])
             break
-        last = mark
+        seen[mark] = len(states)
+        states.append(w)
     joined = weighted()
     t = truth(joined).drop("_top")
     agree = F.col("label") == F.col("_truth")
-    items = joined.join(t, item).groupBy(*item, "_truth").agg(F.count("*").alias("labels"), F.avg(agree.cast("double")).alias("agreement"), (F.sum(F.when(agree, F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("support"))
+    items = joined.join(t, part).groupBy(*item, "_truth").agg(F.count("*").alias("labels"), F.avg(agree.cast("double")).alias("agreement"), (F.sum(F.when(agree, F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("support"))
     items = scratch.cut(items.withColumnRenamed("_truth", "label"), "consensus")
-    stored.unpersist()
     labellers = w.withColumn("accuracy", 1 - F.col("errors") / F.col("labels"))
-    return items, labellers.select("labeller", "labels", "errors", "accuracy", "variance_bound", "weight")
+    return items, labellers.select("labeller", "labels", "errors", "accuracy", "variance_bound", "weight", F.lit(settled).alias("settled"))
 
 
 def agreement(votes: DataFrame, item: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -505,7 +505,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: Sequence[str], scratch: Sc
     t = plain(F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in text]))
     rows = df.select(F.col(id_col).alias("id"), t.alias("plain")).where("id is not null").groupBy("id").agg(F.max("plain").alias("plain")).where("plain <> ''")
     # the key of a text is a 64-bit hash: two of a billion texts share one with a chance of 3 %
-    keyed = rows.select("id", F.xxhash64("plain").alias("key"), "plain")
+    keyed = scratch.cut(rows.select("id", F.xxhash64("plain").alias("key"), "plain"), "records")
     texts = scratch.cut(keyed.groupBy("key").agg(F.min("plain").alias("plain"), F.count("*").alias("copies"), F.min("id").alias("first")), "texts")
     schema = "key long, s0 long, s1 long, s2 long, block array<int>, part array<long>"
     prints = scratch.cut(texts.select("key", "plain").repartition(max(12, spark_partitions(df))).mapInPandas(_fingerprints, schema), "prints")

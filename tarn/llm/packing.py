@@ -92,7 +92,7 @@ def pack_pieces(size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capac
 
 
 def pack(items: DataFrame, specs: DataFrame, scratch: Scratch, id_col: str = "doc_id", size: str = "size", source: str = "source", cluster: str = "cluster", per_source: int = 8, pieces_a_task: int = PIECES_A_TASK) -> DataFrame:
-    """Windows of each spec filled with whole items; rows (spec, capacity, window, doc_id, piece, pieces, start, tokens).
+    """Windows of each spec filled with whole items; rows (spec, capacity, window, doc_id, source, piece, pieces, start, tokens).
 
     An item larger than the capacity is divided into pieces of the capacity and
     a rest; no other item is divided. Two items of one duplicate cluster never
@@ -124,13 +124,25 @@ def pack(items: DataFrame, specs: DataFrame, scratch: Scratch, id_col: str = "do
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b = pack_pieces(pdf["tokens"].to_numpy(), pdf["_source"].fillna("").to_numpy(), pdf["_cluster"].to_numpy(), int(pdf["capacity"].iloc[0]), per_source)
         task = int(pdf["_task"].iloc[0])
-        return pdf.assign(window=[f"{task:06d}-{x:07d}" for x in b])[["spec", "capacity", "window", "_id", "piece", "pieces", "start", "tokens"]]
+        return pdf.assign(window=[f"{task:06d}-{x:07d}" for x in b])[["spec", "capacity", "window", "_id", "_source", "piece", "pieces", "start", "tokens"]].rename(columns={"_source": "source"})
 
-    out = p.groupBy("spec", "_task").applyInPandas(run, f"spec string, capacity long, window string, _id {id_type}, piece int, pieces int, start long, tokens long")
+    out = p.groupBy("spec", "_task").applyInPandas(run, f"spec string, capacity long, window string, _id {id_type}, source string, piece int, pieces int, start long, tokens long")
     return out.withColumnRenamed("_id", id_col)
 
 
-def pack_report(packed: DataFrame) -> DataFrame:
-    """Windows, pieces, tokens and the share of room used for each spec."""
-    w = packed.groupBy("spec", "capacity", "window").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
-    return w.groupBy("spec", "capacity").agg(F.count("*").alias("windows"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * F.first("capacity"))).alias("used"))
+def pack_report(packed: DataFrame, per_source: int | None = None) -> DataFrame:
+    """Windows, pieces, tokens, the share of room used, and the fewest windows that could hold the tokens, for each spec.
+
+    With ``per_source`` (that of ``pack``) and a column ``source``, ``closed`` counts windows with room that hold
+    as many texts of one source as they may: what that limit costs at most.
+    """
+    limited = per_source is not None and "source" in packed.columns
+    by = ["spec", "capacity", "window"]
+    if limited:
+        s = packed.groupBy(*by, "source").agg(F.count("*").alias("_c"), F.sum("tokens").alias("_t"))
+        w = s.groupBy(*by).agg(F.sum("_c").alias("pieces"), F.sum("_t").alias("tokens"), F.max("_c").alias("_most"))
+    else:
+        w = packed.groupBy(*by).agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.lit(0).alias("_most"))
+    out = w.groupBy("spec", "capacity").agg(F.count("*").alias("windows"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.count_if((F.col("_most") >= (per_source or 0)) & (F.col("tokens") < F.col("capacity"))).alias("closed"))
+    out = out.withColumns({"used": F.col("tokens") / (F.col("windows") * F.col("capacity")), "fewest_windows": F.ceil(F.col("tokens") / F.col("capacity"))})
+    return out if limited else out.drop("closed")

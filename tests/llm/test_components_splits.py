@@ -81,3 +81,14 @@ def test_assignment_keeps_groups_and_shares(spark):
     assert again == {r.id: r.new_split for r in out.collect()}
     none, rep = assign_splits(df.limit(0), t)
     assert none.count() == 0 and rep.count() == 0
+
+
+def test_a_group_stays_when_others_come(spark):
+    t = spark.createDataFrame([("train", 0.7), ("validation", 0.15), ("test", 0.15)], "split_name string, share double")
+    few = spark.createDataFrame([(f"b{i}", f"g{i // 3}") for i in range(600)], "id string, `group` string")
+    many = few.union(spark.createDataFrame([(f"c{i}", f"h{i // 50}") for i in range(3000)], "id string, `group` string"))
+    first, rep = assign_splits(few, t)
+    later, both = assign_splits(many, t, kept=first)
+    later = {r.id: r.new_split for r in later.collect()}
+    assert all(later[r.id] == r.new_split for r in first.collect())
+    assert all(abs(r.reached - r.share) < 0.02 for r in [*rep.collect(), *both.collect()])

@@ -87,3 +87,23 @@ def test_alpha(spark):
     rows = [(i, k, "a") for i in range(6) for k in "xy"] + [(i, k, "b") for i in (6, 7) for k in "xy"] + [(8, "x", "a"), (8, "y", "b"), (9, "x", "b"), (9, "y", "a")]
     got = agreement(spark.createDataFrame(rows, "id int, labeller string, label string"), ["id"]).first()
     assert got.alpha == pytest.approx(1 - 0.2 / ((400 - 14**2 - 6**2) / (20 * 19)))
+
+
+@pytest.mark.parametrize("q", [0.001, 0.025, 0.1, 0.5, 0.9, 0.975])
+def test_quantiles_go_on_smoothly(q):
+    steps = [chi2_quantile(q, n + 1) - chi2_quantile(q, n) for n in (998, 999, 1000, 1001, 1002, 4999, 5000)]
+    assert max(steps[:5]) - min(steps[:5]) < 1e-3 and all(0.8 < s < 1.2 for s in steps)
+
+
+def test_crowded_items_give_the_same(spark, monkeypatch):
+    import random
+
+    from tarn.llm import consensus
+
+    r = random.Random(1)
+    rows = [("hot", f"w{k}", "fail" if r.random() < 0.7 else "pass") for k in range(60)] + [(f"i{i}", f"w{k}", "fail" if (i % 4 == 0) != (r.random() < 0.1 + k / 100) else "pass") for i in range(60) for k in r.sample(range(60), 5)]
+    v = spark.createDataFrame(rows, "item string, labeller string, label string")
+    get = lambda: {x.item: (x.label, x.labels, round(x.support, 9)) for x in discover(v, ["item"], Scratch(spark, "t"))[0].collect()}
+    whole = get()
+    monkeypatch.setattr(consensus, "VOTES_A_TASK", 7)
+    assert get() == whole and whole["hot"][0] == "fail"

@@ -86,6 +86,11 @@ KINDS = {
     "markup": ('</span></div></td><td>85zt30181273\n<div class="c88"><span id="hc48977460">\n.x76{margin:0;color:#rn48879233}\n' * 3, "junk"),
     "base64": ("BfhdRXqBaUrjIwNQ1VDgoYxP5uGPAO39Wf1n0J/TrvFwOK8GP0H9VIh4 =\n" * 4, "junk"),
     "english": ("He who asks about passage splitting should first read the note on distillation. The numbers in the table are means over 7 runs.", None),
+    "banner": (("欢迎光临我们的旗舰店铺请多多关注收藏" * 12), "junk"),
+    "long banner": (("本店所有商品均支持七天无理由退换请放心购买并联系客服咨询" * 9), "junk"),
+    "repeated lines": ("这一行文字会在这个页面里反复出现很多次没有别的内容\n" * 30, "junk"),
+    "wide table": ("\n".join("    ".join(f"列{j}值{i}{j}" for j in range(60)) for i in range(9)), "table"),
+    "long numbers": ("\n".join(f"{10**9 + i}. 零件 KD{i}123" for i in range(1, 20)), "list"),
     "empty": ("", None),
     "blank": (" \n\t\n", None),
     "null": (None, None),
