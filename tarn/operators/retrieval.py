@@ -273,7 +273,9 @@ def rerank_with(pool: DataFrame, model: Callable[[str, list[str], int], Sequence
     A pool is a few dozen rows of one question.
     """
     ship(pool.sparkSession)
-    schema = pool.drop("rank").withColumns({"pool_rank": F.col("rank").cast("int"), "rerank_score": F.lit(0.0), "rank": F.lit(0), "error": F.lit(None).cast("string")}).schema
+    rest = [c for c in pool.columns if c != "rank"]
+    schema = pool.select(*rest, F.col("rank").cast("int").alias("pool_rank"), F.lit(0.0).alias("rerank_score"), F.lit(0).alias("rank"), F.lit("").alias("error")).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)

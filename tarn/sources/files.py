@@ -50,7 +50,9 @@ def decode(content: pd.Series) -> pd.Series:
 def _read_gb(content: pd.Series) -> pd.Series:
     """Bytes as GB 18030 (of which GBK is a part); null where they are not."""
 
-    def text(b: bytes) -> str | None:
+    def text(b: bytes | None) -> str | None:
+        if b is None:
+            return None
         t = bytes(b).decode("gb18030", "surrogateescape")
         return None if any("\udc80" <= ch <= "\udcff" for ch in t) else t
 
