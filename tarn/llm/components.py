@@ -9,6 +9,17 @@ from tarn.storage import Scratch
 
 #: Rounds after which the operator gives up; hash-to-min needs about log2 of the longest path.
 MAX_ROUNDS = 60
+#: A node whose cluster has more rows than this is joined by broadcast; there are at most rows / HOT_ROWS of them.
+HOT_ROWS = 2_000_000
+
+
+def _with_least(now: DataFrame, least: DataFrame, large: bool) -> DataFrame:
+    """Rows (v, u, m) with the smallest member m of v's cluster. The smallest node of a component holds all of it: in ``large`` tables such nodes never meet their rows in one task."""
+    if not large:
+        return now.join(least.drop("n"), "v").select("v", "u", "m")
+    hot = least.where(F.col("n") > HOT_ROWS).select("v", "m")
+    held = now.join(F.broadcast(hot), "v").select("v", "u", "m")
+    return now.join(F.broadcast(hot.select("v")), "v", "left_anti").join(least.drop("n"), "v").select("v", "u", "m").union(held)
 
 
 def hash_to_min(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,8 +42,8 @@ def hash_to_min(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b")
     mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("x")).alias("m")
     before = now.agg(mark).first().m
     for _ in range(MAX_ROUNDS):
-        least = now.groupBy("v").agg(F.min("u").alias("m"))
-        sent = now.join(least, "v").select("v", "u", "m")
+        least = now.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        sent = _with_least(now, least, before.n > HOT_ROWS)
         both = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("r"))
         new = scratch.cut(both.select("r.*").distinct(), "clusters")
         scratch.drop(now)

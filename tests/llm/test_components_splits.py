@@ -92,3 +92,13 @@ def test_a_group_stays_when_others_come(spark):
     later = {r.id: r.new_split for r in later.collect()}
     assert all(later[r.id] == r.new_split for r in first.collect())
     assert all(abs(r.reached - r.share) < 0.02 for r in [*rep.collect(), *both.collect()])
+
+
+@pytest.mark.parametrize("hot", [3, 2_000_000])
+def test_components_with_hot_nodes(spark, monkeypatch, hot):
+    from tarn.llm import components
+
+    monkeypatch.setattr(components, "HOT_ROWS", hot)
+    rows = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(7, 7), (None, 3), (300, 301)]
+    got = {r.node: r.component for r in hash_to_min(spark.createDataFrame(rows, "a int, b int"), Scratch(spark, "t")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)} | {300: 300, 301: 300}

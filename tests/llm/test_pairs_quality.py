@@ -190,3 +190,35 @@ def test_edited_copies_are_found_at_every_length(spark):
     rows += [(f"x{i:04d}", ASK.format(i), SOUND.format(i % 9 + 1, i % 10)) for i in range(300)] + [(f"y{i}", ASK.format(i), ASK.format(i)) for i in range(12)]
     got = {x.id: x.defect for x in A.label_pairs(spark.createDataFrame(rows, "id string, q string, a string"), "id", "q", "a", Scratch(spark, "t")).where("main").collect()}
     assert {k: got.get(k) for k in want} == want
+
+
+def test_posteriors_equal_brute_force():
+    import itertools
+
+    r = np.random.default_rng(5)
+    score, text, steps = r.normal(size=(9, 4)), np.array([0] * 4 + [1] + [2] * 4), Q.Model(stay=0.7).steps()
+    got, stayed = Q.posteriors(score, text, steps)
+    want, same = np.zeros(score.shape), 0.0
+    for k in range(3):
+        rows = np.flatnonzero(text == k)
+        paths = list(itertools.product(range(4), repeat=len(rows)))
+        w = np.array([np.exp(sum(score[i, s] for i, s in zip(rows, p, strict=True)) + sum(steps[a, b] for a, b in itertools.pairwise(p))) for p in paths])
+        w /= w.sum()
+        for p, x in zip(paths, w, strict=True):
+            same += x * sum(a == b for a, b in itertools.pairwise(p))
+            for i, s in zip(rows, p, strict=True):
+                want[i, s] += x
+    assert np.allclose(got, want) and stayed == pytest.approx(same)
+
+
+def test_chances_are_learned_and_keep_their_meaning(spark):
+    texts = [t for t, _ in KINDS.values() if t and len(t) < 20_000] * 20
+    m = Q.learn(texts, prior=50.0)
+    assert m.stay > 0.9 and m.chance[list(Q.OBSERVATIONS).index("bullet"), 1] > m.chance[list(Q.OBSERVATIONS).index("bullet"), 0]
+    got = Q.describe([t or "" for t, _ in KINDS.values()], m)
+    alike = [(k, w) for (k, (_, w)), p in zip(KINDS.items(), got.prose_share, strict=True) if (p < 0.5) != (w is not None) and k not in ("empty", "blank", "null")]
+    assert not alike
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    a, b = Q.fit_model(df, "text"), Q.fit_model(df.repartition(5), "text")
+    assert np.allclose(a.chance, b.chance) and a.stay == b.stay
+    assert np.allclose(Q.fit_model(df.limit(0), "text").chance, Q.Model().chance)
