@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,39 +70,56 @@ def sniff(content: Column) -> Column:
 
 
 def pages_of(files: DataFrame) -> DataFrame:
-    """Sanitised pages of text files: doc_id, page, path, content_hash, text, chars_removed, suspicious (found in the raw text)."""
+    """Sanitised pages of text files: doc_id, page, path, content_hash, text, chars_removed, suspicious (found in the raw text).
+
+    PDF files are left to ``pdf_pages``; any other kind of file is an error.
+    """
     ship(files.sparkSession)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    is_text = F.when(kind.isin("txt", "pdf"), kind == "txt").otherwise(F.raise_error(F.concat(F.lit("no reader for "), F.col("path"))).cast("boolean"))
     # a valid text stays in the JVM; only others go to Python
     utf8 = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), r"^\x{FEFF}", ""))
-    raw = files.where(kind == "txt").select("path", F.sha2("content", 256).alias("content_hash"), "content", utf8.alias("_u"))
+    raw = files.where(is_text).select("path", F.sha2("content", 256).alias("content_hash"), "content", utf8.alias("_u"))
     good = raw.where("_u is not null").select("path", "content_hash", F.col("_u").alias("raw"))
     odd = raw.where("_u is null").select("path", "content_hash", decode("content").alias("raw"))
     r = good.unionByName(odd)
     return r.select(stem(F.col("path")).alias("doc_id"), F.lit(0).alias("page"), "path", "content_hash", strip_dirty(F.col("raw")).alias("text"), dirty_count(F.col("raw")).alias("chars_removed"), suspicious_names(F.col("raw")).alias("suspicious"))
 
 
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """Pages of PDF files, where a reader library is installed; a page that cannot be read is empty, not a failure."""
+def _pdf_reader():
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs the pypdf package") from e
+    return lambda content: PdfReader(content).pages
+
+
+def pdf_pages(files: DataFrame, reader: Callable = _pdf_reader) -> DataFrame:
+    """Pages of PDF files (path, content_hash, page, text), where a reader library is installed. A page that cannot be read is empty, a file that cannot be opened is one empty page: neither is a failure.
+
+    ``reader()`` gives a function from a file's bytes, as a stream, to its pages with ``extract_text``.
+    """
+    ship(files.sparkSession)
 
     def run(batches):
-        try:
-            from pypdf import PdfReader
-        except ImportError as e:
-            raise RuntimeError("reading PDF files needs the pypdf package") from e
         import io
 
+        pages = reader()
         for pdf in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for i, page in enumerate(PdfReader(io.BytesIO(content)).pages):
+            for path, digest, content in zip(pdf["path"], pdf["content_hash"], pdf["content"], strict=True):
+                try:
+                    found = list(pages(io.BytesIO(content)))
+                except Exception:  # noqa: BLE001
+                    found = [None]
+                for i, page in enumerate(found):
                     try:
-                        rows.append((path, i, page.extract_text() or ""))
+                        rows.append((path, digest, i, page.extract_text() or ""))
                     except Exception:  # noqa: BLE001
-                        rows.append((path, i, ""))
-            yield pd.DataFrame(rows, columns=["path", "page", "text"])
+                        rows.append((path, digest, i, ""))
+            yield pd.DataFrame(rows, columns=["path", "content_hash", "page", "text"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
+    return files.select("path", F.sha2("content", 256).alias("content_hash"), "content").mapInPandas(run, "path string, content_hash string, page int, text string")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType = ITEM_SCHEMA, strict: bool = True) -> DataFrame:

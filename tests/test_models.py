@@ -130,3 +130,35 @@ def test_tools_and_drafts(spark):
     d = spark.createDataFrame([("f", "甲"), ("f", "乙乙")], "type string, passage string")
     got = M.draft_questions(d, {"f": "{passage}"}, M.model_udf(lambda t: ['{"question": "问"}' if len(x) == 1 else "nichts" for x in t])).collect()
     assert [(x.question, x.key_claims) for x in got] == [("问", [])]
+
+
+def test_files_of_other_kinds_are_refused_and_broken_ones_are_empty(spark):
+    from tarn.sources.files import pages_of, pdf_pages
+
+    d = spark.createDataFrame([("/a/x.txt", bytearray("文本".encode())), ("/a/y.PDF", bytearray(b"p"))], "path string, content binary")
+    assert [(r.doc_id, r.text) for r in pages_of(d).collect()] == [("x", "文本")]
+    with pytest.raises(Exception, match="no reader for"):
+        pages_of(spark.createDataFrame([("/a/x.doc", bytearray(b"a"))], "path string, content binary")).collect()
+
+    def reader():
+        class Page:
+            def __init__(self, text):
+                self.text = text
+
+            def extract_text(self):
+                if self.text == "bad":
+                    raise ValueError
+                return self.text
+
+        def pages(stream):
+            got = stream.read().decode()
+            if got == "broken":
+                raise OSError
+            return [Page(t) for t in got.split("|")]
+
+        return pages
+
+    d = spark.createDataFrame([("/a.pdf", bytearray(b"one|bad|two")), ("/b.pdf", bytearray(b"broken"))], "path string, content binary")
+    got = pdf_pages(d, reader).collect()
+    assert sorted((r.path, r.page, r.text) for r in got) == [("/a.pdf", 0, "one"), ("/a.pdf", 1, ""), ("/a.pdf", 2, "two"), ("/b.pdf", 0, "")]
+    assert all(len(r.content_hash) == 64 for r in got)
