@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarn.operators import retrieval as R
@@ -68,3 +70,53 @@ def test_histogram_is_normalised(spark):
     h = {r.id: r.embedding for r in R.histogram(d, "id", "t").collect()}
     assert h[1][ord("a") % 64] == pytest.approx(2 / 5**0.5) and h[1][ord("b") % 64] == pytest.approx(1 / 5**0.5)
     assert sum(h[2]) == sum(h[3]) == 0.0
+
+
+def test_kept_are_the_smallest_of_all_batches(monkeypatch):
+    monkeypatch.setattr(R, "WAITING", 10)
+    r = np.random.default_rng(2)
+    score = r.integers(0, 9, (7, 300)).astype(float)
+    score[score == 8] = np.inf
+    score[6, 4:] = np.inf
+    kept = R._Kept(7, 5, 9)
+    rows = r.permutation(300)
+    for a in range(0, 300, 40):
+        kept.add(score[:, a : a + 40], rows[a : a + 40])
+    got = [x for b in kept.result("row_id", pa.int64()) for x in zip(*b.to_pydict().values(), strict=True)]
+    assert got == [(i, *x) for i in range(7) for x in [(y, s) for s, y in sorted(zip(score[i].tolist(), rows.tolist(), strict=True)) if s < np.inf][:5]]
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.2, 9.0])
+@pytest.mark.parametrize("idf", [[0.5, 1.0, 2.0], [0.5, -1.0, 0.0]])
+def test_keyword_scores_equal_the_formula(monkeypatch, dense, idf):
+    monkeypatch.setattr(R, "DENSE", dense)
+    asked = [{"a": 1, "b": 2}, {"c": 1}, {"a": 3, "c": 1}]
+    flat = sorted(("abc".index(t), i, float(n)) for i, q in enumerate(asked) for t, n in q.items())
+    s = R._Scorer(3, ["a", "b", "c"], np.array(idf), np.array([0.5, 0.2, 0.1]), np.array([x[1] for x in flat], dtype=np.int32), np.array([x[2] for x in flat]), np.searchsorted([x[0] for x in flat], range(4)))
+    texts = [["a", "x", "a"], [], ["b", "c", "y"], ["x"], ["c"]]
+    got = np.full((3, 5), np.inf)
+    for at, x in s.of(pa.array(texts, pa.list_(pa.string())), np.array([1.5, 0, 1.5, 0.5, 0.5])):
+        got[:, at] = np.where(x <= s.top, x, np.inf)
+    for i, q in enumerate(asked):
+        for j, t in enumerate(texts):
+            both = [w for w in q if w in t]
+            want = -sum(q[w] * idf["abc".index(w)] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / 2)) for w in both) if both else np.inf
+            assert got[i, j] == pytest.approx(want)
+
+
+def test_many_questions_about_the_same_words_keep_to_the_bound():
+    """20,000 questions of 40 common words: all pairs of a few hundred chunks were gigabytes."""
+    import tracemalloc
+
+    n, words = 20_000, [f"w{i}" for i in range(200)]
+    r = np.random.default_rng(3)
+    who = np.concatenate([np.sort(r.choice(n, n // 5, replace=False)) for _ in words]).astype(np.int32)
+    chunks = pa.array([r.choice(words, 150, replace=False).tolist() for _ in range(500)], pa.list_(pa.string()))
+    tracemalloc.start()
+    s = R._Scorer(n, words, np.ones(200), np.full(200, 0.75), who, np.ones(len(who)), np.arange(201) * (n // 5))
+    kept = R._Kept(n, 24, 9, s.top)
+    for at, x in s.of(chunks, np.ones(500)):
+        kept.add(x, np.arange(500)[at])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and sum(len(b) for b in kept.result("row_id", pa.int64())) == n * 24
