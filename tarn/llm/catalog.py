@@ -312,7 +312,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
     from tarn.llm.quality import fit_model, kind, text_statistics
 
     d = _read(spark, sf, "documents").select("doc_id", "text")
-    return text_statistics(d, "doc_id", "text", fit_model(d, "text")).withColumn("kind", kind())
+    return text_statistics(d, "doc_id", "text", fit_model(d, "text", Scratch(spark, "quality"))).withColumn("kind", kind())
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Lines are described by a few yes-or-no observations, all counted over arrays of
 characters. Given the state of a line they are taken as independent; states
 follow each other with a probability of staying. The chances are learned by
-the Baum-Welch algorithm on a bounded sample of the texts, from stated ones that
+the Baum-Welch algorithm on all texts, from stated ones that
 give the states their meaning. The most likely sequence
 of states of a document is found with the Viterbi algorithm, for all documents
 of a batch at once, line after line.
@@ -11,7 +11,9 @@ of a batch at once, line after line.
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm._text import BLANK, CTRL, DIGIT, HAN, LOWER, PUNCT, SYMBOL, UPPER, chunks, classes, code_points
 from tarn.session import ship
+from tarn.storage import Scratch
 
 STATES = ("prose", "list", "table", "junk")
 
@@ -37,9 +40,8 @@ OBSERVATIONS = {
     "odd": (0.01, 0.01, 0.01, 0.92),  # characters no text of a person has
 }
 STAY = 0.90
-#: Texts that the model is learned on at most (those with the smallest hashes), rounds of learning, and how many
-#: lines of a state the stated chances count for.
-SAMPLE, LEARNING_ROUNDS, PRIOR_LINES = 3_000, 10, 2_000.0
+#: Rounds of learning, and how many lines of a state the stated chances count for, as a share of all lines.
+LEARNING_ROUNDS, PRIOR_SHARE = 10, 0.04
 #: A document is a case if at least this share of its visible characters is not prose.
 MAINLY = 0.5
 
@@ -346,40 +348,118 @@ def posteriors(score: np.ndarray, text: np.ndarray, steps: np.ndarray) -> tuple[
     return np.exp(ahead + behind - whole[:, None]), stayed
 
 
-def learn(texts: list[str], rounds: int = LEARNING_ROUNDS, prior: float = PRIOR_LINES) -> Model:
-    """A model of the texts by Baum-Welch. The stated chances count as ``prior`` lines of each state, so that states keep their meaning."""
-    parts = []
-    shift = 0
+def patterns(obs: np.ndarray) -> np.ndarray:
+    """The observations of each line as one number."""
+    return (obs @ (1 << np.arange(len(OBSERVATIONS)))).astype(np.int16)
+
+
+def expected(m: Model, lines: np.ndarray, sizes: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """What a round of learning needs of texts, as one array: for each pattern the expected number of its lines in each state,
+    then the expected number of steps that stay. ``lines`` are the texts' patterns one after another, ``times`` how often each text occurs.
+
+    The forward-backward algorithm over all texts at once, scaled line by line.
+    """
+    n = 1 << len(OBSERVATIONS)
+    every = (np.arange(n)[:, None] >> np.arange(len(OBSERVATIONS)) & 1).astype(bool)
+    chance = np.exp(m.score(every))[lines]
+    move = (1 - m.stay) / (len(STATES) - 1)
+    same = m.stay - move
+    order = np.argsort(-sizes, kind="stable")
+    starts = (np.cumsum(sizes) - sizes)[order]
+    live = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
+    ahead, total = chance.copy(), np.empty(len(lines))
+    for i in range(len(live)):
+        at = starts[: live[i]] + i
+        x = ahead[at] if i == 0 else (same * ahead[at - 1] + move) * chance[at]
+        total[at] = x.sum(axis=1)
+        ahead[at] = x / total[at][:, None]
+    weight = np.repeat(times.astype(float), sizes)
+    behind, stayed = np.ones(ahead.shape), 0.0
+    for i in range(len(live) - 1, 0, -1):
+        at = starts[: live[i]] + i
+        later = chance[at] * behind[at] / total[at][:, None]
+        stayed += m.stay * float((weight[at] * (ahead[at - 1] * later).sum(axis=1)).sum())
+        behind[at - 1] = same * later + move * later.sum(axis=1)[:, None]
+    p = ahead * behind * weight[:, None]
+    return np.append(np.stack([np.bincount(lines, weights=p[:, k], minlength=n) for k in range(len(STATES))], axis=1).ravel(), stayed)
+
+
+def better(sums: np.ndarray, moves: float, prior: float) -> Model:
+    """The model of a round's expected numbers (``expected``) over all texts, which have ``moves`` steps from line to line."""
+    n, first = 1 << len(OBSERVATIONS), Model()
+    each = sums[:-1].reshape(n, len(STATES))
+    every = (np.arange(n)[:, None] >> np.arange(len(OBSERVATIONS)) & 1).astype(float)
+    seen = (every.T @ each + prior * first.chance) / (each.sum(axis=0) + prior)
+    return Model(np.clip(seen, 0.002, 0.998), float(np.clip((sums[-1] + prior * STAY) / (moves + prior), 0.5, 0.99)))
+
+
+def _lines(texts: list[str]) -> list[np.ndarray]:
+    """Patterns of the lines of each text that has any."""
+    out = []
     for a, b in chunks(texts):
         t = _line_table(texts[a:b])
-        parts.append((observations(t), t["text"] + shift))
-        shift += b - a
-    if not parts or not sum(len(o) for o, _ in parts):
+        found = patterns(observations(t))
+        if len(found):
+            out += np.split(found, np.flatnonzero(np.diff(t["text"])) + 1)
+    return out
+
+
+def learn(texts: list[str], rounds: int = LEARNING_ROUNDS, prior: float | None = None) -> Model:
+    """A model of the texts by Baum-Welch. The stated chances count as ``prior`` lines of each state (PRIOR_SHARE of all lines), so that states keep their meaning."""
+    own = _lines(texts)
+    if not own:
         return Model()
-    obs, text = np.concatenate([o for o, _ in parts]), np.concatenate([t for _, t in parts])
-    first, m = Model(), Model()
-    moves = len(text) - len(np.unique(text))
+    lines, sizes = np.concatenate(own), np.array([len(x) for x in own])
+    m = Model()
     for _ in range(rounds):
-        p, stayed = posteriors(m.score(obs), text, m.steps())
-        seen = (obs.T.astype(float) @ p + prior * first.chance) / (p.sum(axis=0) + prior)
-        m = Model(np.clip(seen, 0.002, 0.998), float(np.clip((stayed + prior * STAY) / (moves + prior), 0.5, 0.99)))
+        m = better(expected(m, lines, sizes, np.ones(len(sizes))), len(lines) - len(sizes), PRIOR_SHARE * len(lines) if prior is None else prior)
     return m
 
 
-def fit_model(df: DataFrame, text: str, sample: int = SAMPLE) -> Model:
-    """``learn`` on at most ``sample`` texts of ``df``, those with the smallest hashes; empty texts do not count. One task learns; only the chances come back."""
+def fit_model(df: DataFrame, text: str, scratch: Scratch | None = None, rounds: int = LEARNING_ROUNDS) -> Model:
+    """``learn`` on all texts of ``df``. Texts are read once, for the patterns of their lines; texts of the same patterns count together.
+    Of a round, each task gives one row of sums."""
     ship(df.sparkSession)
-    n = df.count()
-    hashed = df.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(F.col(text).alias("_text"), F.pmod(F.xxhash64(text), F.lit(1 << 52)).alias("_h"))
-    # the hashes that a sample can need are known from the number of texts, so that only about so many leave the tasks
-    few = hashed.where(F.col("_h") < min(1.0, 1.2 * sample / max(n, 1)) * (1 << 52)).orderBy("_h").limit(sample).select("_text")
+    scratch = scratch or Scratch(df.sparkSession, "quality")
+
+    def read(batches):
+        for pdf in batches:
+            own = _lines([t or "" for t in pdf["_text"]])
+            yield pd.DataFrame({"lines": [x.tobytes() for x in own]})
+
+    seen = df.select(F.col(text).alias("_text")).mapInPandas(read, "lines binary")
+    seen = scratch.cut(seen.groupBy("lines").agg(F.count("*").alias("times")), "lines")
+    whole = seen.agg(F.sum(F.col("times") * F.length("lines") / 2).alias("lines"), F.sum("times").alias("texts")).first()
+    m = Model()
+    for _ in range(rounds if whole.texts else 0):
+
+        def run(batches, m=m):
+            sums = 0.0
+            for pdf in batches:
+                size = pdf["lines"].map(len).to_numpy() // 2
+                for a, b in _pieces(size, 200_000):
+                    sums += expected(m, np.frombuffer(b"".join(pdf["lines"].iloc[a:b]), dtype=np.int16), size[a:b], pdf["times"].to_numpy()[a:b])
+            if np.ndim(sums):
+                yield pd.DataFrame({"sums": [sums]})
+
+        got = seen.mapInPandas(run, "sums array<double>").collect()  # a row of 2,049 sums for each task
+        sums = np.array([math.fsum(x) for x in zip(*(r.sums for r in got), strict=True)])
+        m = better(sums, whole.lines - whole.texts, PRIOR_SHARE * whole.lines)
+        m = Model(np.round(m.chance, 9), round(m.stay, 9))  # as sums of doubles depend on their order
+    scratch.drop(seen)
+    return m
 
-    def run(batches):
-        m = learn([t for pdf in batches for t in pdf["_text"]])
-        yield pd.DataFrame({"chance": [m.chance.ravel()], "stay": [m.stay]})
 
-    got = few.coalesce(1).mapInPandas(run, "chance array<double>, stay double").collect()  # one row
-    return Model(np.array(got[0].chance), got[0].stay) if got else Model()
+def _pieces(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` lines each."""
+    start, n = 0, 0
+    for i, x in enumerate(size.tolist()):
+        if n and n + x > most:
+            yield start, i
+            start, n = i, 0
+        n += x
+    if start < len(size):
+        yield start, len(size)
 
 
 def viterbi(score: np.ndarray, text: np.ndarray, steps: np.ndarray | None = None) -> np.ndarray:

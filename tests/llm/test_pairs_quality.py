@@ -222,3 +222,25 @@ def test_chances_are_learned_and_keep_their_meaning(spark):
     a, b = Q.fit_model(df, "text"), Q.fit_model(df.repartition(5), "text")
     assert np.allclose(a.chance, b.chance) and a.stay == b.stay
     assert np.allclose(Q.fit_model(df.limit(0), "text").chance, Q.Model().chance)
+
+
+def test_expected_numbers_equal_posteriors():
+    r = np.random.default_rng(7)
+    obs, sizes, times = r.random((40, len(Q.OBSERVATIONS))) < 0.3, np.array([1, 12, 3, 20, 4]), np.array([1, 3, 2, 1, 5])
+    m, text = Q.Model(stay=0.8), np.repeat(np.arange(5), sizes)
+    got, lines = Q.expected(m, Q.patterns(obs), sizes, times), Q.patterns(obs)
+    want, stayed = np.zeros((1 << len(Q.OBSERVATIONS), 4)), 0.0
+    for k in range(5):
+        p, same = Q.posteriors(m.score(obs[text == k]), np.zeros(sizes[k], dtype=int), m.steps())
+        np.add.at(want, lines[text == k], times[k] * p)
+        stayed += times[k] * same
+    assert np.allclose(got[:-1].reshape(want.shape), want) and got[-1] == pytest.approx(stayed)
+
+
+def test_the_model_comes_from_all_texts_and_not_from_their_number(spark):
+    texts = [t for t, _ in KINDS.values() if t and len(t) < 2_000]
+    texts = [f"{t}\n第 {i} 项" if i % 3 else t for i in range(4_000) for t in [texts[i * i % len(texts)]]]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", " \n"]], "text string")
+    got, all_, twice = Q.fit_model(df, "text"), Q.learn(texts), Q.fit_model(df.union(df).repartition(3), "text")
+    assert np.allclose(got.chance, all_.chance, atol=1e-6) and got.stay == pytest.approx(all_.stay, abs=1e-6)
+    assert np.allclose(got.chance, twice.chance, atol=1e-6) and got.stay == pytest.approx(twice.stay, abs=1e-6)
