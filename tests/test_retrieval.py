@@ -1,9 +1,13 @@
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tarn.operators import retrieval as R
 
+DATA = Path("/root/testdata/sf0.001")
+
 
 def ranks(spark, *ids, q=1):
     return spark.createDataFrame([(q, x, i + 1) for i, x in enumerate(ids)], "qid int, row_id string, rank int")
@@ -120,3 +124,32 @@ def test_many_questions_about_the_same_words_keep_to_the_bound():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250e6 and sum(len(b) for b in kept.result("row_id", pa.int64())) == n * 24
+
+
+def test_long_texts_are_counted_some_characters_at_a_time():
+    """A thousand texts of 20,000 characters at once were a gigabyte."""
+    import tracemalloc
+
+    texts = ["ab" * 10_000, "", "c"] * 1000
+    tracemalloc.start()
+    h = R.histogram_of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and h.shape == (3000, R.DIM)
+    assert (h == np.tile(np.vstack([R.histogram_of([t]) for t in texts[:3]]), (1000, 1))).all()
+
+
+def test_vectors_are_made_where_they_are_compared(spark):
+    """Vectors by one Python function and their comparison by another were two processes for each task."""
+    from tarn.catalog import QUERIES
+
+    d = spark.createDataFrame([(i, "abc"[: i % 4] * (i % 5) if i else None) for i in range(40)], "row_id long, text string")
+    q = R.histogram(spark.createDataFrame([(1, "ab"), (2, "")], "qid int, text string"), "qid", "text")
+    got, want = R.nearest(q, d, 9, of=R.histogram_of), R.nearest(q, R.histogram(d, "row_id", "text"), 9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 18
+    with pytest.raises(Exception, match="length"):
+        R.nearest(q, d, 9, of=lambda texts: [[0.0]] * len(texts)).collect()
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    plan = QUERIES["rt_hybrid"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
